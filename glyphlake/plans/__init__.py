@@ -1,0 +1 @@
+"""Jobs composed from the operators."""
