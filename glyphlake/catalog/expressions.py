@@ -10,7 +10,7 @@ from glyphlake.operators import lookup
 @query("f01_nfkc", "select doc_id, length(text) as n_in, length(text) as n_out, text from documents")
 def _(t):
     # The accented letters of this table are composed already, so folding keeps them.
-    return t.wide_documents.select("doc_id", F.length("text").alias("n_in").cast("bigint"),
+    return t.documents.select("doc_id", F.length("text").alias("n_in").cast("bigint"),
                                    F.length(text.nfkc("text")).alias("n_out").cast("bigint"),
                                    text.nfkc("text").alias("text"))
 
@@ -21,7 +21,7 @@ select doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(string_
   '[.]{3,}', '…', 'g'), '\s+', '', 'g') as norm from documents""")
 def _(t):
     plain = F.regexp_replace("text", "[^ -~\n]", "?")
-    return t.wide_documents.select("doc_id", text.normalize_eval(plain).alias("norm"))
+    return t.documents.select("doc_id", text.normalize_eval(plain).alias("norm"))
 
 
 @query("f03_edit_distance", "select name, levenshtein(truth, hyp)::int as dist from v_cer")
@@ -53,16 +53,16 @@ select doc_id, array_to_string(list_transform(list_filter(list_zip(c, list_conca
   lambda s: s[1] is distinct from s[2]), lambda s: s[1]), '') as text
 from (select doc_id, string_split(text, '') as c from documents)""")
 def _(t):
-    return t.wide_documents.select("doc_id", F.split("text", "").alias("c")).select(
+    return t.documents.select("doc_id", F.split("text", "").alias("c")).select(
         "doc_id", F.array_join(text.compact_route("c"), "").alias("text"))
 
 
 @query("f07_kana_fraction", """
-select doc_id, round(len(regexp_extract_all(text, '[aeiou]')) / len(regexp_extract_all(text, '[a-z]')), 9) as letters,
-  round(len(regexp_extract_all(text, '[aeiou]')) / len(regexp_extract_all(text, '[^\\s]')), 9) as nonspace
-from documents where regexp_matches(text, '[a-z]')""".replace("\\\\", "\\"))
+select doc_id, coalesce(round(len(regexp_extract_all(text, '[aeiou]')) / nullif(len(regexp_extract_all(text, '[a-z]')), 0), 9), 0) as letters,
+  coalesce(round(len(regexp_extract_all(text, '[aeiou]')) / nullif(len(regexp_extract_all(text, '\\S')), 0), 9), 0) as nonspace
+from documents""")
 def _(t):
-    return t.wide_documents.where(F.col("text").rlike("[a-z]")).select(
+    return t.documents.select(
         "doc_id", F.round(text.class_fraction("text", "[aeiou]", "[a-z]"), 9).alias("letters"),
         F.round(text.class_fraction("text", "[aeiou]", "[^\\s]"), 9).alias("nonspace"))
 
@@ -78,7 +78,7 @@ select doc_id, len(m) as n, array_to_string(m, '|') as morae from (select doc_id
 def _(t):
     # Vowels stand in for small kana; the kana form itself is tested on fixtures.
     m = F.regexp_extract_all("text", F.lit("[^aeiou][aeiou]*|[aeiou]+"), F.lit(0))
-    return t.wide_documents.select("doc_id", m.alias("m")).select(
+    return t.documents.select("doc_id", m.alias("m")).select(
         "doc_id", F.size("m").cast("bigint").alias("n"), F.array_join("m", "|").alias("morae"))
 
 
@@ -98,7 +98,7 @@ def _(t):
 select page_id, len(q) as n, array_to_string(q, ' ') as quotes
 from (select page_id, regexp_extract_all(html, '"[^"]*"') as q from pages)""")
 def _(t):
-    return t.wide_pages.select("page_id", text.quoted_examples("html", '"', '"').alias("q")).select(
+    return t.pages.select("page_id", text.quoted_examples("html", '"', '"').alias("q")).select(
         "page_id", F.size("q").cast("bigint").alias("n"), F.array_join("q", " ").alias("quotes"))
 
 
@@ -132,7 +132,7 @@ p as (select doc_id, case when starts_with(l[1], 'T') and ends_with(l[1], '.') t
 select doc_id, len(l)::int as n, array_to_string(l, chr(10)) as lines from p""")
 def _(t):
     lines = text.split_plain("text", ("http://", "https://"), (",",), ("T", "."))
-    return t.wide_documents.select("doc_id", lines.alias("l")).select(
+    return t.documents.select("doc_id", lines.alias("l")).select(
         "doc_id", F.size("l").alias("n"), F.array_join("l", "\n").alias("lines"))
 
 
@@ -144,7 +144,7 @@ def _(t):
 
 @query("f16_collapse_blank", r"select doc_id, regexp_replace(text, '\n[ \t\n]*\n', chr(10), 'g') as text from documents")
 def _(t):
-    return t.wide_documents.select("doc_id", text.collapse_blank("text").alias("text"))
+    return t.documents.select("doc_id", text.collapse_blank("text").alias("text"))
 
 
 @query("f17_strip_edges", r"""
@@ -152,7 +152,7 @@ select doc_id, count(*) as n, sum(length(w))::bigint as kept, max(w) as last fro
   regexp_replace(regexp_replace(unnest(string_split(text, ' ')), '^\pP+', ''), '\pP+$', '') as w from documents)
 group by doc_id""")
 def _(t):
-    words = t.wide_documents.select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    words = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("w"))
     return words.select("doc_id", text.strip_edges("w").alias("w")).groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum(F.length("w")).alias("kept"), F.max("w").alias("last"))
 
@@ -160,7 +160,7 @@ def _(t):
 @query("f18_strip_invisible", r"""
 select doc_id, regexp_replace(text, '[\x{200B}\x{FEFF}\r\n\t]', '', 'g') as text from documents""")
 def _(t):
-    return t.wide_documents.select("doc_id", text.strip_invisible("text").alias("text"))
+    return t.documents.select("doc_id", text.strip_invisible("text").alias("text"))
 
 
 @query("f19_sentences", r"""
@@ -169,7 +169,7 @@ with m as (select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!
 select doc_id, len(list_filter(s, lambda x: x <> '')) as n,
   array_to_string(list_filter(s, lambda x: x <> ''), '¶') as sentences from m""")
 def _(t):
-    return t.wide_documents.select("doc_id", text.sentences("text", ".!?", '")!?.').alias("s")).select(
+    return t.documents.select("doc_id", text.sentences("text", ".!?", '")!?.').alias("s")).select(
         "doc_id", F.size("s").cast("bigint").alias("n"), F.array_join("s", "¶").alias("sentences"))
 
 

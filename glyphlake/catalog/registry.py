@@ -11,8 +11,7 @@ from glyphlake.catalog import views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_SECTIONS = ("scans", "filters", "joins", "aggregates", "scans_ordered", "ranks",
-             "setops", "expressions", "geometry", "streams", "jobs")
+_SECTIONS = ("expressions",)
 
 
 def query(name: str, sql: str | None = None, recursive: bool = False):

@@ -14,8 +14,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.session import spread
-
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
 WORD_BREAK = "[^a-zà-öø-ÿ]+"
@@ -40,8 +38,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name.startswith("wide_") and name[5:] in BASE:
-            return spread(getattr(self, name[5:]))
         raise AttributeError(name)
 
     @cached_property
@@ -51,21 +47,20 @@ class Tables:
 
     @cached_property
     def v_lines(self):
-        return self.wide_documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        return self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
     @cached_property
     def v_turn_lines(self):
-        return self.wide_conversations.select("conv_id", "turn", "role",
+        return self.conversations.select("conv_id", "turn", "role",
                                          F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
     @cached_property
     def v_tokens(self):
-        return self.wide_documents.select("doc_id", "lang", F.posexplode(words_of("text")).alias("pos", "word"))
+        return self.documents.select("doc_id", "lang", F.posexplode(words_of("text")).alias("pos", "word"))
 
     @cached_property
     def v_word(self):
         return (self.benchmark.select("item_id", F.explode(words_of("text")).alias("word"))
-                .where(F.length("word") >= 3)
                 .groupBy("word").agg(F.count("*").alias("score"), F.min("item_id").alias("pos")))
 
     @cached_property
@@ -92,7 +87,7 @@ class Tables:
     @cached_property
     def v_query(self):
         """Every position of every turn with the twelve characters from there on."""
-        turns = self.wide_conversations.where(F.length("text") > 0).select(
+        turns = self.conversations.where(F.length("text") > 0).select(
             "conv_id", "turn", F.lower("text").alias("text"))
         return turns.select(
             "conv_id", "turn",
@@ -104,7 +99,7 @@ class Tables:
 
     @cached_property
     def v_freq_raw(self):
-        return self.v_tokens.where(F.length("word") >= 3).select(
+        return self.v_tokens.select(
             F.col("word").alias("term"), F.col("lang").alias("source"), F.col("doc_id").alias("value"))
 
     @cached_property
@@ -211,7 +206,7 @@ VIEWS = {
     "v_tokens": "select doc_id, lang, unnest(range(len(l)))::int as pos, unnest(l) as word from (select doc_id, lang, "
                 f"list_filter(string_split_regex(lower(text), '{WORD_BREAK}'), lambda w: w <> '') l from documents)",
     "v_word": "select word, count(*) as score, min(item_id) as pos from (select item_id, unnest(list_filter("
-              f"string_split_regex(lower(text), '{WORD_BREAK}'), lambda w: length(w) >= 3)) as word "
+              f"string_split_regex(lower(text), '{WORD_BREAK}'), lambda w: w <> '')) as word "
               "from benchmark) group by word",
     "v_dict": "select word as key, substring(word,1,3) as reading, word as gloss_key, score, "
               "concat('d', length(word) % 3) as dict, pos from v_word union all "
@@ -224,7 +219,7 @@ VIEWS = {
                "unnest(range(length(text))) as i from (select conv_id, turn, lower(text) as text from conversations))",
     "v_prefix": "select conv_id, turn, pos, n::int as len, substring(q,1,n) as surface from (select conv_id, turn, pos, q, "
                 "unnest(range(1, least(12, length(q))+1)) as n from v_query)",
-    "v_freq_raw": "select word as term, lang as source, doc_id as value from v_tokens where length(word) >= 3",
+    "v_freq_raw": "select word as term, lang as source, doc_id as value from v_tokens",
     "v_freq": "select term, source, min(value) as value from v_freq_raw group by term, source",
     "v_pitch": "select distinct key as term, reading, (length(key) % 4)::int as position from v_dict",
     "v_char": "select distinct substring(word,1,1) as char, concat('on', length(word) % 2) as on_yomi, "

@@ -7,14 +7,18 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphlake.functions import fixed
 from glyphlake.functions.text import is_tag_noise, split_plain, strip
 from glyphlake.operators.setops import first_nonempty
 
-NODE = ("struct<path:array<int>,tag:string,text:string,title:string,alt:string,src:string,"
-        "data:map<string,string>,style:map<string,string>,"
-        "above:array<struct<tag:string,content:string,name:string,cls:string,mark:string>>>")
+_TEXT, _MAP = T.StringType(), T.MapType(T.StringType(), T.StringType())
+_ABOVE = T.StructType([T.StructField(n, _TEXT) for n in ("tag", "content", "name", "cls", "mark")])
+_NODES = T.ArrayType(T.StructType([
+    T.StructField("path", T.ArrayType(T.IntegerType())),
+    *[T.StructField(n, _TEXT) for n in ("tag", "text", "title", "alt", "src")],
+    T.StructField("data", _MAP), T.StructField("style", _MAP), T.StructField("above", T.ArrayType(_ABOVE))]))
 
 
 def _scalars(value) -> dict | None:
@@ -24,43 +28,45 @@ def _scalars(value) -> dict | None:
             if isinstance(v, (str, int, float)) and not isinstance(v, bool)}
 
 
-def _walk(value, path, above, out) -> None:
-    """Append one tuple per node below ``value`` in reading order."""
-    for i, node in enumerate(value if isinstance(value, list) else [value]):
-        here = [*path, i]
+def _walk(tree):
+    """One tuple per node in reading order. A stack, so depth is bounded by memory alone."""
+    todo = [([], tree, [])]
+    while todo:
+        path, node, above = todo.pop()
         if node is None:
             continue
-        if isinstance(node, list):
+        if isinstance(node, list) or not path:
             blank = {"tag": "", "content": None, "name": None, "cls": None, "mark": None}
-            _walk(node, here, [*above, blank], out)
+            items = node if isinstance(node, list) else [node]
+            todo += [([*path, i], x, [*above, blank] if path else above) for i, x in reversed(list(enumerate(items)))]
             continue
         if not isinstance(node, dict):
             text = str(node).lower() if isinstance(node, bool) else str(node)
-            out.append((here, None, text, None, None, None, None, None, above))
+            yield path, None, text, None, None, None, None, None, above
             continue
         data, style = _scalars(node.get("data")) or {}, _scalars(node.get("style")) or {}
-        tag = str(node.get("tag") or "").lower()
-        if node.get("type") == "image":
-            tag = "img"
+        tag = "img" if node.get("type") == "image" else str(node.get("tag") or "").lower()
         text = str(node.get("text", "")) if node.get("type") == "text" else None
-        out.append((here, "span" if tag == "a" else tag, text, node.get("title"), node.get("alt"),
-                    node.get("path"), data, style, above))
+        yield (path, "span" if tag == "a" else tag, text, node.get("title"), node.get("alt"),
+               node.get("path"), data, style, above)
         if text is None and tag != "img" and node.get("content") is not None:
             up = {"tag": tag, "content": data.get("content"), "name": data.get("name"),
                   "cls": data.get("class"), "mark": style.get("listStyleType")}
-            _walk(node["content"], here, [*above, up], out)
+            inner = node["content"] if isinstance(node["content"], list) else [node["content"]]
+            todo += [([*path, i], x, [*above, up]) for i, x in reversed(list(enumerate(inner)))]
 
 
-@F.pandas_udf(f"array<{NODE}>")
 def _nodes(glosses: pd.Series) -> pd.Series:
     names = ("path", "tag", "text", "title", "alt", "src", "data", "style", "above")
 
     def one(text):
-        out: list = []
-        _walk(json.loads(text), [], [], out)
-        return [dict(zip(names, row)) for row in out]
+        try:
+            tree = json.loads(text)
+        except (ValueError, RecursionError):
+            tree = text
+        return [dict(zip(names, row)) for row in _walk(tree)]
 
-    return glosses.map(one)
+    return glosses.map(one, na_action="ignore")
 
 
 def with_nodes(glosses: DataFrame, gloss_json: str = "gloss_json") -> DataFrame:
@@ -69,7 +75,7 @@ def with_nodes(glosses: DataFrame, gloss_json: str = "gloss_json") -> DataFrame:
     Trees have no depth bound, which no builtin can walk; the small walker runs
     per Arrow batch and everything after it is column work.
     """
-    return glosses.withColumn("nodes", _nodes(F.col(gloss_json)))
+    return glosses.withColumn("nodes", F.pandas_udf(_nodes, _NODES)(F.col(gloss_json)))
 
 
 def gloss_nodes(glosses: DataFrame, keys=("gloss_key",)) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphlake.functions import fixed
 
@@ -18,10 +19,9 @@ def _col(c) -> Column:
 
 def strip(text) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_col(text), "(?U)^\\s+|\\s+$", "")
+    return F.regexp_replace(_col(text), "(?U)^[\\s\ufeff]+|[\\s\ufeff]+$", "")
 
 
-@F.pandas_udf("string")
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
@@ -42,33 +42,8 @@ def _odd(text: Column) -> Column:
 def nfkc(text) -> Column:
     """Compatibility fold. Only rows with a character that needs it reach Python."""
     text = _narrow(_col(text))
-    return F.coalesce(_fold(F.when(_odd(text), text)), text)
-
-
-@F.pandas_udf("array<array<string>>")
-def _fold_tails(texts: pd.Series) -> pd.Series:
-    def tails(s):
-        n = fixed.MAX_MATCH
-        return [[unicodedata.normalize("NFKC", s[i:i + k]) for k in range(1, min(n, len(s) - i) + 1)]
-                for i in range(len(s))]
-
-    return texts.map(tails, na_action="ignore")
-
-
-def scan_positions(text) -> Column:
-    """Array of (pos, surfaces): at every position, the folded prefixes of 1 to 12 glyphs.
-
-    The place in ``surfaces`` is the length in source glyphs. A text without odd
-    characters never leaves the JVM; one with them is folded once per text.
-    """
-    text = _narrow(_col(text))
-    folded = _fold_tails(F.when(_odd(text), text))
-    plain = lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(fixed.MAX_MATCH), F.length(text) - i)),
-        lambda k: text.substr(i + 1, k))
-    spans = F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.struct(
-        i.alias("pos"), F.coalesce(F.get(folded, i), plain(i)).alias("surfaces")))
-    return F.when(F.length(text) > 0, spans)
+    fold = F.pandas_udf(_fold, T.StringType())
+    return F.coalesce(fold(F.when(_odd(text), text)), text)
 
 
 def normalize_eval(text, include_ruby: bool = False, fold: bool = True) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def prune(tables: Mapping[str, DataFrame], label: str) -> dict[str, DataFrame]:
     """Every table without the rows of one dictionary."""
-    return {name: df.where(F.col("source" if "source" in df.columns else "dict") != label)
+    return {name: df.where(~F.col("source" if "source" in df.columns else "dict").eqNullSafe(label))
             for name, df in tables.items()}
 
 

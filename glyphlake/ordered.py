@@ -159,14 +159,3 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(number, F.row_number().over(w)).where(F.col(number) <= n)
-
-
-def broadcast_if_small(df: DataFrame, limit_rows: int = 2_000_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side stays under the limit.
-
-    Past the limit the hint is left off and Spark shuffles both sides (with
-    adaptive skew splitting).
-    """
-    if df.limit(limit_rows + 1).count() <= limit_rows:
-        return F.broadcast(df)
-    return df

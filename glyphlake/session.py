@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,16 +29,17 @@ def local_session(cores: str = "8", app: str = "glyphlake", memory: str = "12g")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    The cluster names a folder every executor can reach. Only where none is
-    named (tests, a laptop) is a local one made.
+    Only a single-machine session may go without one; a cluster that names none
+    is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
-        current = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        root = current or tempfile.mkdtemp(prefix="glyphlake-checkpoint-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="glyphlake-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(root)
@@ -53,13 +55,3 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the checkpoint folder for a written table."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when a scan has fewer splits than there are cores.
-
-    A large table has thousands of splits and passes through unchanged; a small
-    file with one row group would otherwise leave the expansion to one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
