@@ -60,7 +60,7 @@ def compare(spark, con, sf_dir, fn, sql):
 
 
 def main(argv):
-    from glyphlake import catalog
+    import __spark_entry__ as entry
     from glyphlake.session import local_session
     sf = "/root/testdata/sf0.01"
     if "--sf" in argv:
@@ -69,7 +69,7 @@ def main(argv):
         argv = argv[:i] + argv[i + 2:]
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     con = connect(sf)
-    qs, sqls = catalog.queries(), catalog.oracle_sql()
+    qs, sqls = entry.queries(), entry.oracle_sql()
     names = [n for n in qs if not argv or any(n == a or n.startswith(a) for a in argv)]
     failed = 0
     for n in names:
