@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import chat_format, decontaminate, license_scan, sql, url_filter
+from glyphlake.llm import chat_format, decontaminate, license_scan, packing, sql, url_filter, warc
 from glyphlake.llm.common import table
+from glyphlake.session import scratch_path
 
 RULES = (url_filter.Rule("block", "net/"), url_filter.Rule("allow", "example.net/en/"),
          url_filter.Rule("block", "example.com/de/"), url_filter.Rule("allow", "org/fr/"))
@@ -33,14 +34,29 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back, and their capture histories in global order."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.merge_runs(warc.read_archives(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and license templates in every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_chat_format, op5_decontaminate, op10_license_scan)}
+    f.__name__: f for f in (op1_url_filter, op2_chat_format, op5_decontaminate, op6_warc, op9_packing, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_url_filter": sql.OP1, "op2_chat_format": sql.OP2, "op5_decontaminate": sql.OP5,
+    "op1_url_filter": sql.OP1, "op2_chat_format": sql.OP2, "op5_decontaminate": sql.OP5, "op6_warc": sql.OP6,
     "op10_license_scan": sql.op10(license_scan.PHRASES, license_scan.TEMPLATES, license_scan.THRESHOLD)}

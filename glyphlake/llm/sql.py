@@ -61,6 +61,18 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join covered using (r) left join items using (r)"""
 
 
+_DIGITS = "list_transform(range(8), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> (35 - 5 * i)) & 31)::int, 1))"
+OP6 = f"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select page_id, strlen(body)::bigint as payload_bytes, sha1(body) as h, row_number() over () as r from p),
+c as (select r, k, ('0x' || substring(h, k * 10 + 1, 10))::bigint as n from h, range(4) t(k)),
+b as (select r, string_agg(array_to_string({_DIGITS}, ''), '' order by k) as payload_digest from c group by r),
+f as (select h, max(page_id) as keep from h group by h)
+select page_id, payload_bytes, payload_digest, case when page_id is distinct from keep then 'revisit' else 'response' end
+  as record_type, case when page_id is distinct from keep then keep end as refers_to
+from h join b using (r) join f using (h)"""
+
+
 def op10(phrases, templates, threshold) -> str:
     def words(text):
         return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
