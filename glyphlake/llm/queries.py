@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import chat_format, decontaminate, license_scan, near_dedup, packing, sql, url_filter, warc
+from glyphlake.llm import ann, chat_format, decontaminate, license_scan, near_dedup, packing, sql, url_filter, warc
 from glyphlake.llm.common import table
 from glyphlake.session import scratch_path
 
@@ -42,6 +42,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and survival of every document."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
@@ -60,7 +66,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_chat_format, op5_decontaminate, op6_warc, op8_near_dedup, op9_packing, op10_license_scan)}
+    f.__name__: f for f in (op1_url_filter, op2_chat_format, op5_decontaminate, op6_warc, op7_ann, op8_near_dedup, op9_packing, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": sql.OP1, "op2_chat_format": sql.OP2, "op5_decontaminate": sql.OP5, "op6_warc": sql.OP6,
