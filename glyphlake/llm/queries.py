@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import ann, chat_format, decontaminate, license_scan, near_dedup, packing, sql, url_filter, warc
+from glyphlake.llm import ann, chat_format, decontaminate, license_scan, near_dedup, packing, quality, sql, toxicity, url_filter, warc
 from glyphlake.llm.common import table
 from glyphlake.session import scratch_path
 
@@ -29,6 +29,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(forged)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks of every benchmark item in every document."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
@@ -66,7 +76,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_chat_format, op5_decontaminate, op6_warc, op7_ann, op8_near_dedup, op9_packing, op10_license_scan)}
+    f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_toxicity, op4_quality, op5_decontaminate,
+                                op6_warc, op7_ann, op8_near_dedup, op9_packing, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": sql.OP1, "op2_chat_format": sql.OP2, "op5_decontaminate": sql.OP5, "op6_warc": sql.OP6,
