@@ -3,14 +3,17 @@
 1. Every text becomes a weighted set: hashes of its five-word shingles with their
    counts. Exact copies are one text from here on.
 2. Document frequencies of shingles are counted over all documents in a table of
-   fixed size, so a shingle's weight is count * log(1 + documents / frequency),
-   resolved down to a fixed share of the documents at any size.
+   fixed size, resolved down to a fixed share of the documents at any size. A
+   shingle weighs count * (1 + log(1 + documents / frequency) / DAMPING).
 3. Consistent weighted samples of each set (the sample and its weight level agree
    for two sets with a probability equal to their weighted Jaccard similarity) are
    joined to bands. Texts of one band value are candidates.
 4. In a bucket every text is paired with two of its texts, the smallest key and
    one drawn by the band, so the pairs are linear in the bucket's size; a large
-   family meets through other bands again. Pairs are verified exactly.
+   family meets through other bands again. Pairs are verified exactly: their
+   weighted Jaccard similarity must reach the threshold, by these weights or by
+   counts alone. The second is for large families, whose common text is so
+   frequent that its weight no longer binds them.
 5. Texts that verified pairs connect are one class, found by alternating star
    contraction over tables in the shared folder.
 """
@@ -31,6 +34,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**12 = 0.9998.
 ROWS, BANDS = 3, 12
+#: The larger, the less a shingle's rarity counts.
+DAMPING = 8
 #: Counters of document frequency; a power of two.
 COUNTERS = 1 << 18
 #: Bits of the filter that keeps vectors of texts without a candidate at home; a power of two.
@@ -88,7 +93,7 @@ def shingle_vectors(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id"
 
 
 def inverse_frequencies(vectors: DataFrame) -> np.ndarray:
-    """log(1 + documents / frequency) for each counter; the table has a fixed size."""
+    """Weight of one occurrence for each counter; the table has a fixed size."""
     def run(batches):
         counts, n = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
@@ -107,7 +112,7 @@ def inverse_frequencies(vectors: DataFrame) -> np.ndarray:
     at, n = rows.column("counter").to_numpy(), rows.column("n").to_numpy()
     counts = np.zeros(COUNTERS)
     counts[at[at >= 0]] = n[at >= 0]
-    return np.log1p(max(1, n[at < 0].sum()) / np.maximum(counts, 1)).astype(np.float32)
+    return (1 + np.log1p(max(1, n[at < 0].sum()) / np.maximum(counts, 1)) / DAMPING).astype(np.float32)
 
 
 def _weights(shingles, counts, idf):
@@ -206,7 +211,7 @@ def _held(vectors: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def verified_pairs(pairs: DataFrame, vectors: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity): the pairs whose weighted Jaccard similarity is ``threshold`` or more."""
+    """(a, b, similarity): the pairs whose weighted Jaccard similarity, by weights or by counts, is ``threshold`` or more."""
     idf = pairs.sparkSession.sparkContext.broadcast(idf)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     held = _held(vectors.select("key", "shingles", "counts"), keys).groupBy("key").agg(
@@ -223,9 +228,14 @@ def verified_pairs(pairs: DataFrame, vectors: DataFrame, idf: np.ndarray, thresh
                 ha, wa = _weights(sa.as_buffer(), ca.as_py(), idf.value)
                 hb, wb = _weights(sb.as_buffer(), cb.as_py(), idf.value)
                 _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                shared = float(np.minimum(wa[i], wb[j]).sum(dtype=np.float64))
-                total = float(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64)) - shared
-                found.append(shared / total)
+                na, nb = (np.ones(len(h)) if c.as_py() is None else np.frombuffer(c.as_py(), np.uint16).astype(float)
+                          for h, c in ((ha, ca), (hb, cb)))
+                best = 0.0
+                for x, y in ((wa, wb), (na, nb)):
+                    shared = float(np.minimum(x[i], y[j]).sum(dtype=np.float64))
+                    total = float(x.sum(dtype=np.float64) + y.sum(dtype=np.float64)) - shared
+                    best = max(best, shared / total)
+                found.append(best)
             similarity = pa.array(found, pa.float64())
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), similarity], ["a", "b", "similarity"])
             yield out.filter(pa.array(np.array(found) >= threshold))

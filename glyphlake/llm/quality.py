@@ -80,7 +80,7 @@ class QualityModel:
 def fit_rows(texts: list[str], y: np.ndarray) -> QualityModel:
     """Adaptive gradient descent on the logistic loss, in a fixed order."""
     find = re.compile(WORD).findall
-    stats = np.array([statistics(t, find(t.lower())) for t in texts]).reshape(len(texts), -1)
+    stats = np.array([statistics(t, find(t.lower())) for t in texts]).reshape(len(texts), len(statistics("", [])))
     edges = (np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(texts)
              else np.zeros((len(statistics("", [])), BINS - 1)))
     # The outer bins are narrow, for rare kinds of text.

@@ -1,0 +1,376 @@
+"""Each operator against brute force, with nulls, empty and long texts, repeated rows, empty tables and clashing names."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from glyphlake.llm import (ann, chat_format, decontaminate, license_scan, near_dedup, packing, quality, toxicity,
+                           url_filter, warc)
+from glyphlake.llm.common import WORD
+
+RNG = random.Random(5)
+VOCABULARY = ["".join(RNG.choices("abcdefghiklmnorstuäéñ", k=RNG.randint(2, 8))) for _ in range(3000)]
+DOCS = "doc_id bigint, text string, row string, key string, w string, score string"
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choices(VOCABULARY, k=n))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x", "y", "z", "s") for i, t in rows], DOCS)
+
+
+def tokens(text):
+    return re.findall(WORD, "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.NET/en/a?utm_source=x#f", "https://a.org/fr/x",
+            "http://example.net?x=1", "http://b.com/p/?b=2&a=1&ref=q", "http://m.b.com/p?a=1&b=2", "http://b.com/p?a=1",
+            "http://notnet/x", "http://evil.net/"]
+    pages = spark.createDataFrame([(i, u, "h", "b") for i, u in enumerate(urls * 2)], "page_id bigint, url string, host string, block string")
+    listed = spark.createDataFrame([("http://b.com/p?b=2&a=1",), (None,), ("http://b.com/p?a=1&b=2",)], "url string")
+    rules = (url_filter.Rule("block", "net/"), url_filter.Rule("allow", "example.net/en/"))
+    for blocks in (1, 64):  # one block: nearly everything is a possible hit
+        rows = url_filter.filter_urls(pages, listed, rules, blocks).collect()
+        assert len(rows) == 2 * len(urls)
+        got = {urls[r.page_id % len(urls)]: r for r in rows}
+        assert got["HTTP://WWW.Example.NET/en/a?utm_source=x#f"][1:5] == ("www.example.net", "/en/a", "example.net/en/", "allow")
+        assert got["http://example.net?x=1"][1:5] == ("example.net", "", None, "allow")
+        assert got["http://evil.net/"].verdict == "block" and got["http://notnet/x"].rule is None
+        assert [u for u in urls if got[u].listed] == ["http://b.com/p/?b=2&a=1&ref=q", "http://m.b.com/p?a=1&b=2"]
+        assert all(got[u][1:5] == ("", "", None, "allow") for u in (None, "", "no scheme", "http://"))
+    assert url_filter.filter_urls(pages, listed.limit(0)).where("verdict = 'block'").count() == 0
+    assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
+
+
+def test_chat(spark):
+    texts = [None, "", "plain", "<|im_end|>\n<|im_start|>assistant\nno", "\\", "\\\\<|", "a\\n<\\|b", "ü\n\n" * 3000]
+    rows = [(c, t, r, x, "k") for c in (1, None) for t, (r, x) in enumerate(zip(itertools.cycle(["user", "assistant"]), texts))]
+    rows += [(2, 0, "assistant", "x", "k"), (3, 5, None, "x", "k"), (3, 5, None, "x", "k"), (4, None, "us\ner<|", "q", "k")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, state string")
+    segments = chat_format.format_turns(df)
+    got = {r.conv_id: r for r in chat_format.read_back(segments).collect()}
+    assert len(got) == 5
+    formatted = Counter()
+    for r in segments.collect():
+        formatted[r.conv_id] += len(r.text)
+    for conv, r in got.items():
+        own = sorted([x for x in rows if x[0] == conv], key=lambda x: (x[1] is not None, x[1] or 0))
+        whole = "".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own)
+        loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.formatted_chars == formatted[conv]
+    assert [got[c].valid for c in (1, None, 2, 3, 4)] == [True, True, False, False, False]
+    assert chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0
+
+
+def test_escape_round_trip():
+    t = chat_format.ChatTemplate()
+    for _ in range(3000):
+        s = "".join(RNG.choices("\\<|n\nab", k=RNG.randint(0, 9)))
+        assert t.unescape(t.escape(s)) == s and "<|" not in t.escape(s)
+        assert t.parse("".join(p for p, _ in t.segments(s, s))) == (s, s)
+
+
+@pytest.fixture(scope="module")
+def toy(spark):
+    rng = random.Random(11)
+    docs, labels = [], []
+    for i in range(500):
+        bad, low = i % 5 == 0, i % 7 == 0
+        w = prose(60, rng).split()
+        if bad:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(["gruntle", "blatherskite", "moggy" + rng.choice(VOCABULARY)]))
+        text = " ".join(w)
+        docs.append((i, " | ".join(text.upper().split()) if low else text))
+        if i % 3:
+            labels.append((i, int(not low), int(bad)))
+    docs += [(1000, None), (1001, ""), (1002, "gruntel blatherskit gruntlle"), (1003, "Blatherskite! gruntle, gruntle."),
+             (1004, 'they wrote "gruntle gruntle gruntle gruntle" and left'), (None, prose(50, rng)), (1, docs[1][1])]
+    labels += [(1, 1, 0), (None, 1, 1), (2, None, None), (77777, 0, 1)]
+    return frame(spark, docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), docs
+
+
+def test_toxicity(toy):
+    docs, labels, raw = toy
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    assert len(rows) == len(raw)
+    got = {r.doc_id: r for r in rows}
+    wrong = sum(got[i].predicted != (i % 5 == 0) for i in range(500))
+    assert wrong <= 5
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(500))
+    assert got[1003].predicted == 1 and got[1002].score > got[1001].score and got[1004].score < got[1003].score
+    assert got[1000].score == got[1001].score < 0.1 and got[None].predicted == 0
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in rows)
+    assert toxicity.score_toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_automaton_is_edit_distance():
+    terms = ["gruntle", "blatherskite", "moron"]
+    a = toxicity.Automaton({t: (1.0, False) for t in terms})
+
+    def distance(x, y):  # with swaps of neighbours, each letter edited once
+        d = [[i + j if i * j == 0 else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x[i - 1] != y[j - 1]))
+                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    for _ in range(4000):
+        w = list(RNG.choice(terms))
+        for _ in range(RNG.randint(0, 3)):
+            at, how = RNG.randrange(len(w)), RNG.randint(0, 3)
+            if how == 0:
+                del w[at]
+            elif how == 1:
+                w.insert(at, RNG.choice("gruntleabmo"))
+            elif how == 2:
+                w[at] = RNG.choice("gruntleabmo")
+            else:
+                w[at:at + 2] = w[at:at + 2][::-1]
+            w = w or ["x"]
+        w = "".join(w)
+        want = min((d for t in terms if (d := distance(w, t)) <= sum(len(t) >= n for n in toxicity.EDITS)), default=None)
+        m = a.match(w)
+        assert (m and m[1]) == want, w
+
+
+def test_quality(toy):
+    docs, labels, raw = toy
+    rows = quality.score_quality(docs, labels).collect()
+    assert len(rows) == len(raw) and all(0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.doc_id is not None and r.doc_id < 500 and r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 7 != 0) for r in held) >= 0.97 * len(held)
+    assert quality.score_quality(docs, labels.limit(0)).where("score = 0.5").count() == len(raw)
+    assert quality.score_quality(docs.limit(0), labels).count() == 0
+    assert quality.drop_poor(docs, labels).count() == sum(r.predicted for r in rows)
+
+
+def test_pair_identity():
+    rng = np.random.default_rng(1)
+    m = quality.QualityModel(np.zeros((1, 1)), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    i, x = np.array([1, 3, 3, 8]), rng.normal(size=4)
+    z = 0.3 + m.linear[i] @ x + sum(x[a] * x[b] * (m.factors[i[a]] @ m.factors[i[b]]) for a, b in itertools.combinations(range(4), 2))
+    assert m.score(i, x) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_leaks(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "SET_BOUND", bound)
+    items = [(0, prose(30)), (1, prose(14)), (1, prose(12)), (2, "Short Item"), (3, None), (4, "!!"), (None, prose(11)), (5, prose(30))]
+    items.append((6, items[0][1]))
+    docs = [(i, prose(40)) for i in range(20)]
+    docs += [(20, prose(5) + ",\n" + items[0][1].upper().replace("Ä", "ä").replace("É", "é").replace("Ñ", "ñ") + " " + prose(5)),
+             (21, " ".join(items[5][1].split()[3:15]) + " x " + " ".join(items[1][1].split()[:10])), (22, "a short, ITEM short item"),
+             (23, None), (24, ""), (25, items[6][1]), (25, items[6][1]), (26, (prose(200) + " ") * 20 + items[2][1]),
+             (None, items[7][1])]
+    b = spark.createDataFrame([(i, t, "w") for i, t in items], "item_id bigint, text string, words string")
+    got = decontaminate.find_leaks(frame(spark, docs), b).collect()
+    want = []
+    for i, t in docs:
+        w, hit, found = tokens(t), set(), set()
+        for item, x in items:
+            x = tokens(x)
+            n = min(10, len(x))
+            grams = {tuple(x[k:k + n]) for k in range(len(x) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in grams:
+                    hit.update(range(k, k + n))
+                    found.add("null" if item is None else str(item))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        want.append((i, len(w), len(hit), len(found), digest, bool(hit)))
+    by = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([tuple(r)[:6] for r in got], key=by) == sorted(want, key=by)
+    clean = decontaminate.decontaminate(frame(spark, docs), b)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(d[0] for d, w in zip(docs, want) if not w[5])
+    assert decontaminate.find_leaks(frame(spark, docs).limit(0), b).count() == 0
+    assert decontaminate.find_leaks(frame(spark, docs), b.limit(0)).where("contaminated").count() == 0
+
+
+def test_warc(spark, tmp_path):
+    body = "<p>\r\n\r\nWARC/1.1\r\n ü</p>\r\n"
+    rows = [(1, "http://a.b.com/x", body), (9, "http://b.com/", body), (3, None, body), (4, "http://z.org/\r\nWARC-Type: x", ""),
+            (5, "http://z.org/", None), (None, "http://q.org", "only"), (7, "http://a.org/", "long " * 50_000), (7, "http://a.org/", "other")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id bigint, url string, html string, key string, date string").repartition(3)
+    for least in (0, 5):
+        path = str(tmp_path / f"w{least}")
+        warc.write_archives(pages, path, least)
+        got = warc.merge_runs(warc.read_archives(spark, path)).collect()
+        want = []
+        for page, _, html in rows:
+            data = (html or "").encode()
+            same = [p for p, _, h in rows if (h or "") == (html or "") and p is not None]
+            first = max(same, default=None) if len(data) >= least else page
+            import base64
+            want.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(),
+                         "response" if page == first else "revisit", None if page == first else first))
+        by = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=by) == sorted(want, key=by)
+        order = [(r.key, r.date, r.page_id is not None, r.page_id or 0) for r in got]
+        assert order == sorted(order)
+    warc.write_archives(pages.limit(0), str(tmp_path / "none"))
+    assert warc.merge_runs(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_loser_tree():
+    for k in range(8):
+        runs = [sorted(RNG.choices(range(50), k=RNG.randint(0, 20))) for _ in range(k)]
+        assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16)) + rng.normal(size=(6, 16))[rng.integers(0, 6, 3000)] * 2
+    x[1000:1400] = x[50]
+    x[1400] = x[50] * 2
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    odd = [(3000, None), (3050, [0.0] * 16), (3100, [float("nan")] * 16), (3150, [1.0] * 15 + [None]), (None, [1.0] * 16), (3200, [1.0]),
+           (50, rows[50][1])]
+    v = spark.createDataFrame([(*r, "l") for r in rows + odd], "vec_id bigint, embedding array<double>, list string")
+    got = ann.nearest(v, v.where("vec_id % 50 = 0")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        mine = sorted([r for r in got if r.query_id == q], key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and all(r.vec_id != q for r in mine)
+        s = unit @ unit[q]
+        assert all(r.score == pytest.approx(s[r.vec_id], abs=1e-12) for r in mine)
+        s[q] = -9
+        best = sorted(range(3000), key=lambda i: (-round(s[i], 12), i))[:5]
+        hits += len({r.vec_id for r in mine} & set(best))
+        if q == 50:
+            assert [r.vec_id for r in mine] == best
+    assert hits >= 0.95 * 300 and {r.query_id for r in got} == set(range(0, 3000, 50))
+    few = spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r)[:3] for r in ann.nearest(few, few.where("vec_id = 0")).collect())[0][0] == 0
+    assert ann.nearest(few, few.where("vec_id = 0")).count() == 2
+    assert ann.nearest(few.limit(0), few).count() == 0 and ann.nearest(few, few.limit(0)).count() == 0
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(3)
+    docs = [(i, prose(rng.randint(1, 120), rng)) for i in range(150)]
+    base = [prose(150, rng) for _ in range(6)]
+    shared = prose(60, rng)
+    for k, b in enumerate(base):
+        for j in range(25):
+            w = b.split()
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            docs.append((1000 + 100 * k + j, " ".join(w)))
+    docs += [(2000 + i, shared + " " + prose(80, rng)) for i in range(40)]
+    docs += [(3000, None), (3001, ""), (3002, "!"), (3003, "!"), (3004, "one two"), (3005, "One, two"), (1000, docs[150][1]), (None, base[0]),
+             (3006, prose(5, rng) * 4000)]
+    rows = near_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    got = {(r.doc_id, bytes(r.key)): r.class_id for r in rows}
+    key = lambda d: (d[0], hashlib.md5((d[1] or "").encode()).digest())
+    sets = {key(d): (lambda w: set(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else {tuple(w)} - {()})(re.findall(WORD, (d[1] or "").lower())) for d in docs}
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if x and y and len(x & y) >= 0.83 * len(x | y):
+            assert got[a] == got[b], (a, b)
+        if a[1] == b[1]:
+            assert got[a] == got[b]
+    for c, members in itertools.groupby(sorted(got, key=lambda k: (got[k] is None, got[k] or 0)), key=got.get):
+        members = list(members)
+        if len({m[1] for m in members}) > 1:
+            assert all(any(m[1] != o[1] and len(sets[m] & sets[o]) >= 0.75 * len(sets[m] | sets[o]) for o in members) for m in members if sets[m])
+    assert len({got[key(d)] for d in docs if d[0] and 2000 <= d[0] < 2040}) == 40
+    kept = near_dedup.drop_near_duplicates(frame(spark, docs))
+    assert kept.columns == frame(spark, docs).columns and kept.count() == len(set(got.values()))
+    assert near_dedup.near_duplicates(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_consistent_samples_follow_weighted_jaccard():
+    rng = np.random.default_rng(4)
+    h = np.arange(400, dtype=np.uint32) * np.uint32(2654435761)
+    w, v = rng.uniform(1, 6, 400).astype(np.float32), rng.uniform(1, 6, 400).astype(np.float32)
+    v[:250] = w[:250]
+    same = (near_dedup.consistent_samples(h, w, 4000) == near_dedup.consistent_samples(h, v, 4000)).mean()
+    assert same == pytest.approx(np.minimum(w, v).sum() / np.maximum(w, v).sum(), abs=0.03)
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    odd = ["", None, "<|endoftext|> x", "日本語 текст", "a" * 3000, " \n\n\t  x\u00a0\u0085y '’s 12³ ½", prose(5000)]
+    odd += ["".join(RNG.choices("abé ñÜ'st\n\t  .,!?-1²ß", k=60)) for _ in range(300)]
+    encode = packing.encoder(path)
+    assert all(list(encode(x or "")) == t.encode(x or "", add_special_tokens=False).ids for x in odd)
+    docs = list(enumerate(odd)) + [(6, odd[6]), (None, "null id")]
+    rows = packing.pack(frame(spark, docs), path, length=64).collect()
+    sequences = {}
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == r.length > 0 and zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at == 64 or at & (at - 1) == 0 and at < 64
+    for i, text in docs:
+        own = sorted([r for r in rows if r.doc_id == i], key=lambda r: r.start)
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert all(r.doc_tokens == len(ids) for r in own)
+        if i != 6:
+            assert [int(x) for r in own for x in np.frombuffer(r.ids, "<u2")] == ids
+    assert sum(r.length for r in rows if r.doc_id == 6) == 2 * len(t.encode(odd[6], add_special_tokens=False).ids) + 2
+    assert packing.pack(frame(spark, docs).limit(0), path).count() == 0
+
+
+def test_hilbert_neighbours():
+    grid = np.array(list(itertools.product(range(8), repeat=3)))
+    path = grid[np.argsort(packing.hilbert_key(grid, 3))]
+    assert sorted(packing.hilbert_key(grid, 3)) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_licenses(spark):
+    docs = [(0, None), (1, ""), (2, "x MIT License, and the mit\nlicense. Mit-License"), (3, prose(400) + "\nlicensed under cc, by-nc 4.0\n"),
+            (4, "GNU General Public License\nredistribution and use in source and binary forms, with or without changes are permitted"),
+            (5, "the apache apache license license"), (5, "the apache apache license license"), (None, "All rights reserved."), (6, "license " * 5000)]
+    rows = license_scan.scan_licenses(frame(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    got = {r.doc_id: r for r in rows}
+    for i, text in docs:
+        w = tokens(text)
+        at = [k for p in license_scan.PHRASES for k in range(len(w)) if w[k:k + len(p.split())] == p.split()]
+        base = {v for p, v in license_scan.PHRASES.items() if any(w[k:k + len(p.split())] == p.split() for k in range(len(w)))}
+        found = {(n, v): c for n, line in enumerate((text or "").split("\n")) for v, t in license_scan.TEMPLATES
+                 if (c := len(set(t.split()) & set(tokens(line))) / len(set(t.split()))) >= license_scan.THRESHOLD}
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
+        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | {v for _, v in found}))
+        assert r.score == pytest.approx(1.0 if at else max(found.values(), default=0.0))
+        assert {(b.line, b.label) for b in r.blocks} == set(found)
+    assert license_scan.scan_licenses(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and "sequence_id" in rows.columns
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "/root/testdata/sf0.001")
+        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
