@@ -288,7 +288,7 @@ def _(t):
 
 
 @query("n10_nest_result", """
-select key, 0 as part, '[' || string_agg('{"dict":"' || dict || '","gloss":"' || gloss_key || '","score":' || score || '}', ','
+select key, '[' || string_agg('{"dict":"' || dict || '","gloss":"' || gloss_key || '","score":' || score || '}', ','
   order by gloss_key) || ']' as entries from v_dict group by key""")
 def _(t):
     rows = t.v_dict.select("key", "dict", F.col("gloss_key").alias("gloss"), "score")

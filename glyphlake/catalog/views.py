@@ -87,15 +87,11 @@ class Tables:
     @cached_property
     def v_query(self):
         """Every position of every turn with the twelve characters from there on."""
+        # The characters are split once, so a text costs time in proportion to its length.
         turns = self.conversations.where(F.length("text") > 0).select(
-            "conv_id", "turn", F.lower("text").alias("text"))
-        return turns.select(
-            "conv_id", "turn",
-            F.explode(F.transform(
-                F.sequence(F.lit(1), F.length("text")),
-                lambda i: F.struct((i - 1).alias("pos"),
-                                   F.col("text").substr(i, F.lit(12)).alias("q")))).alias("s"),
-        ).select("conv_id", "turn", "s.pos", "s.q")
+            "conv_id", "turn", F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("c"))
+        return turns.select("conv_id", "turn", F.posexplode(F.transform(
+            F.sequence(F.lit(1), F.size("c")), lambda i: F.array_join(F.slice("c", i, 12), ""))).alias("pos", "q"))
 
     @cached_property
     def v_freq_raw(self):
@@ -116,7 +112,7 @@ class Tables:
         return self.v_word.select(
             F.substring("word", 1, 1).alias("char"),
             F.concat(F.lit("on"), (F.length("word") % 2).cast("string")).alias("on_yomi"),
-            F.lit("").alias("kun_yomi"),
+            F.lit("").alias("kun_yomi"), F.array(F.substring("word", 1, 2)).alias("meanings"),
             F.concat(F.lit("d"), (F.length("word") % 3).cast("string")).alias("dict")).distinct()
 
     @cached_property
@@ -223,7 +219,7 @@ VIEWS = {
     "v_freq": "select term, source, min(value) as value from v_freq_raw group by term, source",
     "v_pitch": "select distinct key as term, reading, (length(key) % 4)::int as position from v_dict",
     "v_char": "select distinct substring(word,1,1) as char, concat('on', length(word) % 2) as on_yomi, "
-              "'' as kun_yomi, concat('d', length(word) % 3) as dict from v_word",
+              "'' as kun_yomi, [substring(word,1,2)] as meanings, concat('d', length(word) % 3) as dict from v_word",
     "v_prefs": "select * from (values ('d0', true, 0), ('d1', false, 1)) t(name, enabled, ord)",
     "v_manifest": "select * from (values ('d2', 0), ('d0', 1), ('d1', 2), ('d3', 3)) t(label, ord)",
     "v_glyph": "select doc_id as page_id, line_no as li, ci::int as ci, ch, ci*10 + doc_id % 3 as x, "

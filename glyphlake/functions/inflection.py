@@ -1,11 +1,10 @@
-"""Suffix rules for inflected forms, and their closure as one table.
+"""Suffix rules for inflected forms, undone one step at a time over distinct surfaces.
 
 A rule (suffix_in, suffix_out, type_in, type_out, step) undoes one step: a word
 that ends in ``suffix_in`` and is of ``type_in`` comes from one that ends in
 ``suffix_out`` and is of ``type_out``. The word on the page has no type yet, so
-any rule may come first. Chains of rules are composed once on the suffixes, so
-that undoing any number of steps is one equi join instead of a recursion over
-the data.
+any rule may come first. Every step is one equi join of all forms found in the
+step before with the rules, on suffix and type.
 """
 
 from __future__ import annotations
@@ -13,6 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from glyphlake.session import cut
+
 
 class Rule(NamedTuple):
     suffix_in: str
@@ -86,55 +90,61 @@ def japanese_rules() -> list[Rule]:
             ("いく", "", "v5", "te", "ていく Departure"), ("みる", "", "v1", "te", "てみる Attempt"),
             ("ら", "", "", "past", "たら Conditional"), ("り", "", "", "past", "たり Listing")):
         add(i, o, ti, to, step)
+    # Irregular forms and contractions.
+    for i, o, ti, to, step in (
+            ("行って", "行く", "te", "v5", "て・で Form"), ("行った", "行く", "past", "v5", "Plain Past"),
+            ("しろ", "する", "imperative", "vs", "Imperative"), ("せよ", "する", "imperative", "vs", "Imperative"),
+            ("しよう", "する", "", "vs", "Volitional"), ("すれば", "する", "", "vs", "ば Conditional"),
+            ("来い", "来る", "imperative", "vk", "Imperative"), ("こい", "くる", "imperative", "vk", "Imperative"),
+            ("来よう", "来る", "", "vk", "Volitional"), ("こよう", "くる", "", "vk", "Volitional"),
+            ("来れば", "来る", "", "vk", "ば Conditional"), ("くれば", "くる", "", "vk", "ば Conditional"),
+            ("よかった", "いい", "", "adj-i", "Plain Past"), ("よく", "いい", "adv", "adj-i", "Adverbial"),
+            ("よくない", "いい", "adj-i", "adj-i", "ない Negative"), ("よければ", "いい", "", "adj-i", "ば Conditional"),
+            ("なさい", "", "", "masu-stem", "なさい Command"),
+            ("ちゃう", "て", "v5", "te", "てしまう Completion"), ("じゃう", "で", "v5", "te", "てしまう Completion")):
+        add(i, o, ti, to, step)
     return rules
 
 
-class Chain(NamedTuple):
-    suffix_in: str
-    suffix_out: str
-    type_out: str
-    steps: int
-    route: tuple[str, ...]
-
-
 # A stem class is a part of a word, never a word on its own.
 PARTS = frozenset({"te", "past", "neg-stem", "masu-stem", "imperative", "adv", "masu"})
 
 
-def compile_rules(rules: Iterable[Rule], max_len: int = 12, parts: Iterable[str] = PARTS) -> list[Chain]:
-    """Every chain of rules whose combined ``suffix_in`` fits in ``max_len`` characters.
+def base_forms(surfaces: DataFrame, rules: Iterable[Rule], parts: Iterable[str] = PARTS,
+               rounds: int = 12, surface: str = "surface") -> DataFrame:
+    """(surface, form, type, steps, route): every base form of each distinct surface, and the surface itself.
 
-    A match is at most ``max_len`` glyphs long, so longer suffixes cannot occur.
-    Per (suffix_in, suffix_out, type) the chain with fewest steps is kept. Chains
-    ending in a stem class are used for composing but not returned.
+    ``rounds`` bounds the rules that are undone one after another; no Japanese
+    word stacks that many. Rules without a name are not counted as steps. Per
+    form and type the shortest route is kept, ties by its names. Null and empty
+    surfaces have no forms.
     """
-    rules = list(rules)
-    parts = set(parts)
-    best: dict[tuple[str, str, str], Chain] = {}
-    edge: list[Chain] = []
-
-    def offer(chain: Chain) -> None:
-        key = chain[:3]
-        known = best.get(key)
-        if len(chain.suffix_in) <= max_len and (known is None or (chain.steps, chain.route) < (known.steps, known.route)):
-            best[key] = chain
-            edge.append(chain)
-
-    for r in rules:
-        offer(Chain(r.suffix_in, r.suffix_out, r.type_out, 1, (r.step,)))
-    while edge:
-        batch, edge[:] = list(edge), []
-        for c in batch:
-            for r in rules:
-                if r.type_in != c.type_out:
-                    continue
-                if c.suffix_out.endswith(r.suffix_in):
-                    keep = c.suffix_out[:len(c.suffix_out) - len(r.suffix_in)]
-                    new = (c.suffix_in, keep + r.suffix_out)
-                elif r.suffix_in.endswith(c.suffix_out):
-                    more = r.suffix_in[:len(r.suffix_in) - len(c.suffix_out)]
-                    new = (more + c.suffix_in, r.suffix_out)
-                else:
-                    continue
-                offer(Chain(*new, r.type_out, c.steps + 1, (*c.route, r.step)))
-    return [c for c in best.values() if c.type_out not in parts]
+    rules = list(dict.fromkeys(rules))
+    table = surfaces.sparkSession.createDataFrame(
+        rules, "suffix_in string, suffix_out string, type_in string, type_out string, step string")
+    longest = max((len(r.suffix_in) for r in rules), default=0)
+    start = surfaces.select(F.col(surface).alias("surface")).where(F.length("surface") > 0).distinct().select(
+        "surface", F.col("surface").alias("form"), F.lit("").alias("type"), F.lit(0).alias("steps"),
+        F.array().cast("array<string>").alias("route"))
+    edge = found = cut(start)
+    for _ in range(rounds):
+        ends = F.sequence(F.lit(0), F.least(F.lit(longest), F.length("form")))
+        open_ = edge.select("*", F.explode(F.transform(ends, lambda n: F.right("form", n))).alias("suffix_in"))
+        starts = F.col("type") == ""
+        # The rules are a parameter, so their table may be broadcast.
+        met = open_.join(F.broadcast(table), "suffix_in").where(starts | (F.col("type") == F.col("type_in")))
+        named = F.col("step") != ""
+        new = met.select(
+            "surface", F.concat(F.left("form", F.length("form") - F.length("suffix_in")), "suffix_out").alias("form"),
+            F.col("type_out").alias("type"), (F.col("steps") + named.cast("int")).alias("steps"),
+            F.when(named, F.concat("route", F.array("step"))).otherwise(F.col("route")).alias("route"))
+        best = new.where("form <> ''").groupBy("surface", "form", "type").agg(
+            F.min(F.struct("steps", "route")).alias("b")).select("surface", "form", "type", "b.*")
+        known = found.select("surface", "form", "type", F.struct("steps", "route").alias("old"))
+        edge = cut(best.join(known, ["surface", "form", "type"], "left").where(
+            F.col("old").isNull() | (F.struct("steps", "route") < F.col("old"))).drop("old"))
+        if edge.isEmpty():
+            break
+        found = cut(found.unionByName(edge).groupBy("surface", "form", "type").agg(
+            F.min(F.struct("steps", "route")).alias("b")).select("surface", "form", "type", "b.*"))
+    return found.where(~F.col("type").isin(*parts)) if parts else found

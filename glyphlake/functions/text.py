@@ -121,30 +121,31 @@ def quoted_examples(text, opening: str = "「", closing: str = "」") -> Column:
     return F.regexp_extract_all(_col(text), F.lit(f"{opening}[^{closing}]*{closing}"), F.lit(0))
 
 
-_NUMBERED = ("^\\s*(?:[\\u2460-\\u24ff\\u2776-\\u277f\\u3220-\\u3229\\u3251-\\u325f\\u32b1-\\u32bf]"
+# The line patterns of plain glosses. The ideographic blank counts as a blank.
+_NUMBERED = ("^[\\s\u3000]*(?:[\\u2460-\\u24ff\\u2776-\\u277f\\u3220-\\u3229\\u3251-\\u325f\\u32b1-\\u32bf]"
              "|[\\d\\uff10-\\uff19]{1,2}[.、)）]\\s?)")
 
 
 def classify_line(line) -> Column:
     """``head``, ``ex``, ``row``, ``numbered``, ``label`` or empty, for one trimmed line."""
     line = _col(line)
-    return (F.when(line.rlike("^\\s*[\\[［〘【][^\\]］〙】]{1,14}[\\]］〙】]\\s*$"), "head")
-            .when(line.rlike("^\\s*[「『].{1,120}[」』]\\s*$"), "ex")
+    return (F.when(line.rlike("^[\\s\u3000]*[\\[［〘【][^\\]］〙】]{1,14}[\\]］〙】][\\s\u3000]*$"), "head")
+            .when(line.rlike("^[\\s\u3000]*[「『].{1,120}[」』][\\s\u3000]*$"), "ex")
             .when(line.rlike("[|｜][^|｜]*[|｜]"), "row")
             .when(line.rlike(_NUMBERED), "numbered")
-            .when(line.rlike("[：:]\\s*$") & (F.length(line) <= 9), "head")
-            .when(line.rlike("^\\s*[^\\s：:]{1,8}[：:]\\s*"), "label")
+            .when(line.rlike("[：:][\\s\u3000]*$") & (F.length(line) <= 9), "head")
+            .when(line.rlike("^[\\s\u3000]*[^\\s\u3000：:]{1,8}[：:][\\s\u3000]*"), "label")
             .otherwise(""))
 
 
 def line_label(line) -> Column:
     """The short label in front of a colon, empty when there is none."""
-    return F.regexp_extract(_col(line), "^\\s*([^\\s：:]{1,8})[：:]\\s*", 1)
+    return F.regexp_extract(_col(line), "^[\\s\u3000]*([^\\s\u3000：:]{1,8})[：:][\\s\u3000]*", 1)
 
 
 def heading_text(line) -> Column:
-    line = F.regexp_replace(_col(line), "^[\\s\\[［〘【]+", "")
-    return F.regexp_replace(line, "[\\]］〙】：:\\s]+$", "")
+    line = F.regexp_replace(_col(line), "^[\\s\u3000\\[［〘【]+", "")
+    return F.regexp_replace(line, "[\\]］〙】：:\\s\u3000]+$", "")
 
 
 def row_cells(line, separators: str = "[|｜]") -> Column:

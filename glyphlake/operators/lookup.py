@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions import fixed
 from glyphlake.functions.gloss import dict_kind
-from glyphlake.functions.text import nfkc
+from glyphlake.functions.text import nfkc, strip
 from glyphlake.ordered import Ordered, first_n
 
 LAST = 2147483647
@@ -57,10 +57,15 @@ def attach_pitch(groups: DataFrame, pitch: DataFrame, n: int = fixed.SHOWN_PITCH
 
 
 def freq_summary(freq: DataFrame, prefs: DataFrame) -> DataFrame:
-    """(term, min_freq, n_freq): the value that comes first by preference, then by value."""
+    """(term, min_freq, n_freq, freqs): all marks by preference, then value, and the first value.
+
+    A term has one mark per frequency list, so the list is bounded by their number.
+    """
     shown = with_rank(visible(freq, prefs, "source"), prefs, "source")
+    every = F.sort_array(F.collect_list(F.struct("rank", "value", "source")))
     return shown.groupBy("term").agg(
-        F.min_by("value", F.struct("rank", "value", "source")).alias("min_freq"), F.count("*").alias("n_freq"))
+        F.min_by("value", F.struct("rank", "value", "source")).alias("min_freq"), F.count("*").alias("n_freq"),
+        F.transform(every, lambda f: F.struct(f["source"].alias("source"), f["value"].alias("value"))).alias("freqs"))
 
 
 def attach_freq(groups: DataFrame, freq: DataFrame, prefs: DataFrame, key: str = "key") -> DataFrame:
@@ -79,7 +84,7 @@ def char_fallback(queries: DataFrame, matched: DataFrame, kanji: DataFrame, pref
     shown = with_rank(visible(kanji, prefs), prefs)
     best = shown.groupBy("char").agg(F.min_by(
         F.struct("on_yomi", "kun_yomi", "meanings", "dict"),
-        F.struct("rank", "dict", "on_yomi", "kun_yomi")).alias("k")).select("char", "k.*")
+        F.struct("rank", "dict", "on_yomi", "kun_yomi", "meanings")).alias("k")).select("char", "k.*")
     first = queries.join(matched.select(*keys).distinct(), list(keys), "left_anti").select(
         *keys, nfkc(F.substring(q, 1, 1)).alias("char"))
     parts = F.filter(F.array("on_yomi", "kun_yomi"), lambda s: F.coalesce(s, F.lit("")) != "")
@@ -145,14 +150,14 @@ def rank_entries(entries: DataFrame, prefs: DataFrame, keys: Sequence[str], hint
     miss = ~F.coalesce(F.col(hint).contains(F.col("reading")), F.lit(False)) if hint else F.lit(False)
     ranked = ranked.withColumns({"_miss": miss, "_score": -F.col("score")})
     order = ["_miss", "rank", "_score", *tie]
-    return Ordered(ranked, keys, order).scan(number="entry_no").df.drop("_miss", "_score")
+    return Ordered(ranked, keys, order, bounded=True).scan(number="entry_no").df.drop("_miss", "_score")
 
 
 def fair_order(entries: DataFrame, keys: Sequence[str], per_dict: int = fixed.FIRST_SCREEN_PER_DICT) -> DataFrame:
     """The first entries of every dictionary come before all the rest; else order is kept."""
-    numbered = Ordered(entries, [*keys, "dict"], ["entry_no"]).scan(number="_n").df
+    numbered = Ordered(entries, [*keys, "dict"], ["entry_no"], bounded=True).scan(number="_n").df
     late = numbered.withColumn("_late", F.col("_n") > per_dict)
-    return Ordered(late, keys, ["_late", "entry_no"]).scan(number="show_no").df.drop("_late", "_n")
+    return Ordered(late, keys, ["_late", "entry_no"], bounded=True).scan(number="show_no").df.drop("_late", "_n")
 
 
 def shown_pitch(groups: DataFrame, pitch: DataFrame, n: int = fixed.SHOWN_PITCH) -> DataFrame:
@@ -170,7 +175,7 @@ def order_by_kind(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     place = F.create_map(*[x for i, k in enumerate(fixed.KIND_ORDER) for x in (F.lit(k), F.lit(i))])
     rows = once.withColumn("kind", kind).withColumn(
         "_k", F.coalesce(F.try_element_at(place, F.col("kind")), F.lit(9)))
-    return Ordered(rows, keys, ["_k", "entry_no"]).scan(number="kind_no").df.drop("_k")
+    return Ordered(rows, keys, ["_k", "entry_no"], bounded=True).scan(number="kind_no").df.drop("_k")
 
 
 def order_candidates(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -180,19 +185,17 @@ def order_candidates(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def nest_result(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
-                name: str, per_part: int = 100_000) -> DataFrame:
-    """Rows of each key as JSON arrays of at most ``per_part`` elements, numbered by ``part``."""
-    numbered = Ordered(rows, keys, order).scan(number="_n").df
-    parts = numbered.withColumn("part", F.floor((F.col("_n") - 1) / per_part).cast("int"))
-    items = F.sort_array(F.collect_list(F.struct("_n", F.struct(*fields).alias("v"))))
-    return parts.groupBy(*keys, "part").agg(F.to_json(F.transform(items, lambda s: s["v"])).alias(name))
+                name: str) -> DataFrame:
+    """One row per key: its rows, in order, as one JSON array. The rows of a key are what one card shows."""
+    items = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v"))))
+    return rows.groupBy(*keys).agg(F.to_json(F.transform(items, lambda s: s["v"])).alias(name))
 
 
 def name_readings(entries: DataFrame, keys: Sequence[str], text: str, order: str,
                   n: int = fixed.MAX_NAME_READINGS, separators: str = "[、,]") -> DataFrame:
     """The first ``n`` distinct readings of each key in order of appearance."""
     parts = entries.select(*keys, F.col(order).alias("_o"), F.posexplode(F.split(text, separators)).alias("_i", "w"))
-    parts = parts.withColumn("w", F.trim("w")).where(F.col("w") != "")
+    parts = parts.withColumn("w", strip("w")).where(F.col("w") != "")
     first = parts.groupBy(*keys, "w").agg(F.min(F.struct("_o", "_i")).alias("at"))
     few = first_n(first, keys, [F.col("at")], n)
     return few.groupBy(*keys).agg(F.expr("listagg(w, '、') within group (order by at)").alias("readings"))

@@ -1,15 +1,14 @@
 """Ordered scans (row number, lag, lead, running aggregates) that survive hot keys.
 
-A window over a key that holds a third of the table is one task. Here the
-largest group is measured first. Up to a limit the plain window is used; past
-it the rows are range-partitioned by (key, order), every range becomes a chunk
-of its key, the window runs inside chunks, and one small row per chunk carries
-the values over the chunk border. Results are the same either way.
+A window over a key that holds a third of the table is one task. So the rows are
+range-partitioned by (key, order), every range becomes a chunk of its key, the
+window runs inside chunks, and one small row per chunk carries the values over the
+chunk border. Groups that are bounded by what they are (the entries of one
+dictionary key, say) take the plain window; the caller says so, not the data.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,22 +16,9 @@ from pyspark.sql import functions as F
 
 from glyphlake.session import cut
 
-GROUP_LIMIT = 4_000_000
-LIMIT_CONF = "glyphlake.groupLimit"
 _CHUNK = "_chunk"
 
 
-def group_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(LIMIT_CONF, str(GROUP_LIMIT)))
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows in the largest group, rows in all). One column-pruned pass."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-    return int(row["top"] or 0), int(row["total"] or 0)
-
-
 def _struct(names: Sequence[str]) -> str:
     return "named_struct(" + ", ".join(f"'{n}', `{n}`" for n in names) + ")"
 
@@ -40,21 +26,13 @@ def _struct(names: Sequence[str]) -> str:
 class Ordered:
     """Rows ordered by ``order`` (ascending, unique inside ``keys``)."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 limit: int | None = None, *, _chunked: bool | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], bounded: bool = False,
+                 *, _chunked: bool | None = None):
         self.keys = list(keys)
         self.order = list(order)
-        if _chunked is None:
-            limit = limit or group_limit(df)
-            top, total = group_sizes(df, self.keys)
-            _chunked = top > limit
-            if _chunked:
-                parts = max(2, math.ceil(2 * total / limit))
-                df = cut(
-                    df.repartitionByRange(parts, *self.keys, *self.order)
-                    .withColumn(_CHUNK, F.spark_partition_id())
-                )
-        self.chunked = _chunked
+        if _chunked is None and not bounded:
+            df = cut(df.repartitionByRange(*self.keys, *self.order).withColumn(_CHUNK, F.spark_partition_id()))
+        self.chunked = (not bounded) if _chunked is None else _chunked
         self._df = df
 
     @property

@@ -1,8 +1,9 @@
-"""Point-in-box and box-overlap joins as equi joins on grid cells.
+"""Point-in-box joins as equi joins on grid cells.
 
-A theta join is a nested loop. Boxes are put on the grid level whose cell is at
-least as large as they are, so each covers at most two cells per axis; a point
-looks into one cell per level that holds boxes. The exact test runs afterwards.
+A theta join is a nested loop. On each axis a box is put on the grid level whose
+cell is at least as long as its side there, so it covers at most two cells per
+axis, also when it is long and thin; a point looks into one cell per pair of levels
+that its group's boxes have. The exact test runs afterwards.
 """
 
 from __future__ import annotations
@@ -30,47 +31,19 @@ def cell_join(points: DataFrame, boxes: DataFrame, on: Sequence[str],
     ``axes`` lists (point column, box low column, box high column). Column names
     other than ``on`` must differ between the sides.
     """
-    side = F.greatest(*[F.col(hi) - F.col(lo) for _, lo, hi in axes]) if len(axes) > 1 else (
-        F.col(axes[0][2]) - F.col(axes[0][1]))
-    boxed = boxes.withColumn("_lv", _level(side.cast("double"), base))
-    # At most about sixty distinct levels exist, whatever the data holds.
-    levels = sorted(r[0] for r in boxed.select("_lv").distinct().collect() if r[0] is not None)
-    cells = []
-    for i, (p, lo, hi) in enumerate(axes):
-        name = f"_c{i}"
-        cells.append(name)
-        first = _cell(F.col(lo), F.col("_lv"), base)
-        last = _cell(F.col(hi), F.col("_lv"), base)
-        boxed = boxed.where(F.col(lo) <= F.col(hi)).withColumn(name, F.explode(F.sequence(first, last)))
-    found = points.withColumn("_lv", F.explode(F.array(*[F.lit(v).cast("int") for v in levels] or [F.lit(0)])))
+    boxed, levels, cells = boxes, [], []
+    for i, (_, lo, hi) in enumerate(axes):
+        boxed = boxed.where(F.col(lo) <= F.col(hi)).withColumn(f"_l{i}", _level((F.col(hi) - F.col(lo)).cast("double"), base))
+        levels.append(f"_l{i}")
+        cells.append(f"_c{i}")
+    used = boxed.select(*on, *levels).distinct()
+    for i, (_, lo, hi) in enumerate(axes):
+        first, last = (_cell(F.col(c), F.col(f"_l{i}"), base) for c in (lo, hi))
+        boxed = boxed.withColumn(f"_c{i}", F.explode(F.sequence(first, last)))
+    found = points.join(used, list(on))
     for i, (p, _, _) in enumerate(axes):
-        found = found.withColumn(cells[i], _cell(F.col(p), F.col("_lv"), base))
-    joined = found.join(boxed, [*on, "_lv", *cells])
+        found = found.withColumn(f"_c{i}", _cell(F.col(p), F.col(f"_l{i}"), base))
+    joined = found.join(boxed, [*on, *levels, *cells])
     for p, lo, hi in axes:
         joined = joined.where((F.col(p) >= F.col(lo)) & (F.col(p) <= F.col(hi)))
-    return joined.drop("_lv", *cells)
-
-
-def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str],
-                 a: tuple[str, str, str, str], b: tuple[str, str, str, str],
-                 cell: float = 256.0) -> DataFrame:
-    """Pairs of boxes (x0, y0, x1, y1 column names) that touch or overlap.
-
-    A pair meets in every cell both cover; it is kept only in the cell holding
-    the corner of its intersection, so no distinct is needed.
-    """
-    def spread(df, box):
-        x0, y0, x1, y1 = (F.floor(F.col(c) / cell).cast("bigint") for c in box)
-        return (df.where((F.col(box[0]) <= F.col(box[2])) & (F.col(box[1]) <= F.col(box[3])))
-                .withColumn("_cx", F.explode(F.sequence(x0, x1)))
-                .withColumn("_cy", F.explode(F.sequence(y0, y1))))
-
-    pairs = spread(left, a).join(spread(right, b), [*on, "_cx", "_cy"])
-    corner_x = F.greatest(F.col(a[0]), F.col(b[0]))
-    corner_y = F.greatest(F.col(a[1]), F.col(b[1]))
-    return pairs.where(
-        (corner_x <= F.least(F.col(a[2]), F.col(b[2])))
-        & (corner_y <= F.least(F.col(a[3]), F.col(b[3])))
-        & (F.col("_cx") == F.floor(corner_x / cell))
-        & (F.col("_cy") == F.floor(corner_y / cell))
-    ).drop("_cx", "_cy")
+    return joined.drop(*levels, *cells)
