@@ -121,11 +121,11 @@ def _(t):
 
 
 @query("a23_unique_probes", """
-with p as (select p_partkey, p_name, substring(p_name, 1, 6) as needle from part), n as (select distinct needle from p),
+with p as (select p_partkey, p_name, substring(p_name, 1, 10) as needle from part), n as (select distinct needle from p),
 c as (select n.needle, count(*) as n from n join p on contains(p_name, n.needle) group by n.needle)
-select p_partkey, p.needle from (select p_partkey, substring(p_name, 1, 6) as needle from part) p join c on c.needle = p.needle where c.n <= 1""")
+select p_partkey, p.needle from (select p_partkey, substring(p_name, 1, 10) as needle from part) p join c on c.needle = p.needle where c.n <= 1""")
 def _(t):
-    return reports.unique_probes(t.part, "p_partkey", "p_name")
+    return reports.unique_probes(t.part, "p_partkey", "p_name", 10)
 
 
 @query("a24_corpus_totals", """
