@@ -87,8 +87,12 @@ class Tables:
     @cached_property
     def v_query(self):
         """Every position of every turn with the twelve characters from there on."""
+        # Every character becomes a row of up to twelve, and most queries multiply that by twelve
+        # again, so turns are dealt out first: the shuffle is small against what follows it.
         # The characters are split once, so a text costs time in proportion to its length.
-        turns = self.conversations.where(F.length("text") > 0).select(
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        turns = self.conversations.where(F.length("text") > 0).select("conv_id", "turn", "text").repartition(
+            parts, "conv_id", "turn").select(
             "conv_id", "turn", F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("c"))
         return turns.select("conv_id", "turn", F.posexplode(F.transform(
             F.sequence(F.lit(1), F.size("c")), lambda i: F.array_join(F.slice("c", i, 12), ""))).alias("pos", "q"))
