@@ -97,3 +97,22 @@ r as (select *, sum(new) {_OVER} as run from n)
 select user_id, min(us) as start, max(us) as end, count(*) as n from r group by user_id, run""")
 def _(t):
     return sequence.sessions(t.v_events, KEY, ORDER, "us", 3_600_000_000)
+
+
+@query("j14_as_of", """
+select event_id, user_id, us, (select max_by(p.value, (p.us, p.event_id)) from v_events p where p.user_id = e.user_id
+  and p.event_type = 'purchase' and p.us <= e.us) as value from v_events e where event_type = 'click'""")
+def _(t):
+    clicks = t.v_events.where("event_type = 'click'").select("event_id", "user_id", "us")
+    layers = t.v_events.where("event_type = 'purchase'").select("user_id", "us", "value")
+    return sequence.as_of(clicks, layers, KEY, "us", "value")
+
+
+@query("j15_correlate", """
+select a.o_orderkey as k, a.asked, min(b.told) filter (b.told >= a.asked) as told from
+  (select distinct o_orderkey, (o_orderkey * 7) % 5 as asked from orders) a left join
+  (select distinct l_orderkey, l_linenumber::bigint as told from lineitem) b on a.o_orderkey = b.l_orderkey group by 1, 2""")
+def _(t):
+    asked = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7 % 5).alias("asked")).distinct()
+    told = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("bigint").alias("told")).distinct()
+    return sequence.correlate(asked, told, ["k"])

@@ -93,3 +93,23 @@ def assign_variants(passages: DataFrame, key: str, variants: int, per: int) -> D
     """``per`` renderings of each numbered passage, with variant (i + 3 r) mod ``variants``."""
     rows = passages.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     return rows.withColumn("variant", ((F.col(key) + F.col("repeat") * 3) % variants).cast("int"))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Names, at: str, value: str) -> DataFrame:
+    """``left`` with the ``value`` of the last row of ``right`` at or before it; both sides are merged, not joined."""
+    cols = left.columns
+    rows = left.withColumns({"_side": F.lit(1), "_v": F.lit(None)}).unionByName(
+        right.select(*keys, at, F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_v"),
+                     *[F.lit(None).alias(c) for c in cols if c not in (*keys, at)]))
+    tie = [c for c in cols if c not in (*keys, at)]
+    found = Ordered(rows, keys, [at, "_side", *tie]).scan(run={"_last": ("last", "_v")}).df.where("_side = 1")
+    return found.select(*cols, F.col("_last.v").alias(value))
+
+
+def correlate(requests: DataFrame, replies: DataFrame, keys: Names) -> DataFrame:
+    """Each request with the first reply of its keys that is not older; requests without one stay.
+
+    ``requests`` has (keys, asked), ``replies`` (keys, told).
+    """
+    met = requests.join(replies, list(keys), "left")
+    return met.groupBy(*keys, "asked").agg(F.min(F.when(F.col("told") >= F.col("asked"), F.col("told"))).alias("told"))
