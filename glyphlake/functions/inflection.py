@@ -126,6 +126,10 @@ def base_forms(surfaces: DataFrame, rules: Iterable[Rule], parts: Iterable[str]
     start = surfaces.select(F.col(surface).alias("surface")).where(F.length("surface") > 0).distinct().select(
         "surface", F.col("surface").alias("form"), F.lit("").alias("type"), F.lit(0).alias("steps"),
         F.array().cast("array<string>").alias("route"))
+    def shortest(rows):
+        return rows.groupBy("surface", "form", "type").agg(F.min(F.struct("steps", "route")).alias("b")).select(
+            "surface", "form", "type", "b.*")
+
     edge = found = cut(start)
     for _ in range(rounds):
         ends = F.sequence(F.lit(0), F.least(F.lit(longest), F.length("form")))
@@ -138,13 +142,12 @@ def base_forms(surfaces: DataFrame, rules: Iterable[Rule], parts: Iterable[str]
             "surface", F.concat(F.left("form", F.length("form") - F.length("suffix_in")), "suffix_out").alias("form"),
             F.col("type_out").alias("type"), (F.col("steps") + named.cast("int")).alias("steps"),
             F.when(named, F.concat("route", F.array("step"))).otherwise(F.col("route")).alias("route"))
-        best = new.where("form <> ''").groupBy("surface", "form", "type").agg(
-            F.min(F.struct("steps", "route")).alias("b")).select("surface", "form", "type", "b.*")
-        known = found.select("surface", "form", "type", F.struct("steps", "route").alias("old"))
+        best = shortest(new.where("form <> ''"))
+        known = shortest(found).select("surface", "form", "type", F.struct("steps", "route").alias("old"))
         edge = cut(best.join(known, ["surface", "form", "type"], "left").where(
             F.col("old").isNull() | (F.struct("steps", "route") < F.col("old"))).drop("old"))
         if edge.isEmpty():
             break
-        found = cut(found.unionByName(edge).groupBy("surface", "form", "type").agg(
-            F.min(F.struct("steps", "route")).alias("b")).select("surface", "form", "type", "b.*"))
+        found = found.unionByName(edge)  # both are written, so the plan stays a union of scans
+    found = shortest(found)
     return found.where(~F.col("type").isin(*parts)) if parts else found
