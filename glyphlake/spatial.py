@@ -47,3 +47,32 @@ def cell_join(points: DataFrame, boxes: DataFrame, on: Sequence[str],
     for p, lo, hi in axes:
         joined = joined.where((F.col(p) >= F.col(lo)) & (F.col(p) <= F.col(hi)))
     return joined.drop(*levels, *cells)
+
+
+def overlap_join(ours: DataFrame, theirs: DataFrame, on: Sequence[str],
+                 axes: Sequence[tuple[str, str, str, str]], base: float = BASE_CELL) -> DataFrame:
+    """Inner join where on every axis the two intervals meet, edges included.
+
+    ``axes`` lists (our low, our high, their low, their high). Two boxes are compared on the
+    coarser of their levels, where each covers at most two cells per axis; a pair counts in
+    the cell that holds the low corner of its common part.
+    """
+    for side, at in (("a", 0), ("b", 2)):
+        df = ours if side == "a" else theirs
+        for i, axis in enumerate(axes):
+            lo, hi = axis[at:at + 2]
+            df = df.where(F.col(lo) <= F.col(hi)).withColumn(f"_{side}{i}", _level((F.col(hi) - F.col(lo)).cast("double"), base))
+        ours, theirs = (df, theirs) if side == "a" else (ours, df)
+    n = range(len(axes))
+    mine, other, cells = ([f"_{s}{i}" for i in n] for s in "abc")
+    left = ours.join(theirs.select(*on, *other).distinct(), list(on))
+    right = theirs.join(ours.select(*on, *mine).distinct(), list(on))
+    top = [F.greatest(f"_a{i}", f"_b{i}") for i in n]
+    for i, (alo, ahi, blo, bhi) in enumerate(axes):
+        left = left.withColumn(cells[i], F.explode(F.sequence(_cell(F.col(alo), top[i], base), _cell(F.col(ahi), top[i], base))))
+        right = right.withColumn(cells[i], F.explode(F.sequence(_cell(F.col(blo), top[i], base), _cell(F.col(bhi), top[i], base))))
+    met = left.join(right, [*on, *mine, *other, *cells])
+    for i, (alo, ahi, blo, bhi) in enumerate(axes):
+        met = met.where((F.col(alo) <= F.col(bhi)) & (F.col(blo) <= F.col(ahi))
+                        & (F.col(cells[i]) == _cell(F.greatest(alo, blo), top[i], base)))
+    return met.drop(*mine, *other, *cells)
