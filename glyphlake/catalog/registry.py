@@ -11,7 +11,7 @@ from glyphlake.catalog import views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_SECTIONS = ("expressions", "lookups", "setqueries", "jobs", "tables", "records", "sequences", "geometries", "pages", "streams")
+_SECTIONS = ("expressions", "lookups", "setqueries", "jobs", "tables", "records", "sequences", "geometries", "pages", "corpora", "streams")
 
 
 def query(name: str, sql: str | None = None, recursive: bool = False):
