@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from glyphlake.catalog.registry import query
 from glyphlake.session import scratch_path
 from glyphlake.streaming import events as stream
+from glyphlake.streaming import state
 
 
 def _events(t):
@@ -33,3 +34,55 @@ def _(t):
     rows = stream.correlate(asked, told, "user_id", "ts", "24 hours", "1 hour")
     done = stream.run_through(rows, scratch_path(t.spark, "replies"), scratch_path(t.spark, "replies-state"))
     return done.select("event_id", F.unix_micros("told").alias("told")).distinct()
+
+
+def _timed(t):
+    return _events(t).withColumn("us", F.unix_micros("ts"))
+
+
+def _done(t, rows, name):
+    return stream.run_through(rows, scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-state"))
+
+
+@query("t04_stream_throttle", """
+with recursive k as (select user_id, min(us) as us from v_events group by 1 union all
+  select e.user_id, min(e.us) from k join v_events e on e.user_id = k.user_id and e.us >= k.us + 7200000000 group by 1)
+select user_id, event_id, us from (select e.user_id, e.event_id, e.us, row_number() over (partition by e.user_id, e.us order by event_id) as n
+  from k join v_events e on e.user_id = k.user_id and e.us = k.us) where n = 1""", recursive=True)
+def _(t):
+    return _done(t, state.throttle(_timed(t), "user_id", 7_200_000_000), "throttled")
+
+
+@query("t01_classify_passes", """
+with p as (select event_id, user_id, us, case when event_type <> 'error' then event_type end as content from v_events),
+l as (select *, last_value(content ignore nulls) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding) as sent from p)
+select user_id, event_id, case when content is null then 'idle' when content = sent then 'heartbeat' else 'payload' end as kind from l""")
+def _(t):
+    passes = _timed(t).withColumn("content", F.when(F.col("event_type") != "error", F.col("event_type")))
+    return _done(t, state.classify_passes(passes, "user_id"), "passes")
+
+
+@query("t06_stall_alerts", """
+with n as (select user_id, us, lead(us) over (partition by user_id order by us, event_id) as next from v_events)
+select user_id, us from n where next - us >= 14400000000
+  or (next is null and us + 14400000000 <= (select (max(us) // 1000) * 1000 - 60000000 from v_events))""")
+def _(t):
+    return _done(t, state.stall_alerts(_events(t), "user_id", "ts", 14_400_000_000, "1 minute"), "stalls")
+
+
+def _turns(t):
+    """Turns of a conversation as the pages that one reader sees, in order."""
+    kinds = t.conversations.schema
+    rows = t.spark.readStream.schema(kinds).option("pathGlobFilter", "conversations.parquet").parquet(t.sf_dir)
+    return rows.select(F.col("role").alias("reader"), (F.col("conv_id") * 1000 + F.col("turn")).alias("us"),
+                       (F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.split("text", "[ \n]+").alias("lines"))
+
+
+@query("t02_rebuild_gate")
+def _(t):
+    return _done(t, state.rebuild_gate(_turns(t), "reader", 0.05), "gate")
+
+
+@query("t03_page_turns")
+def _(t):
+    return _done(t, state.page_turns(_turns(t), "reader", 0.05), "turns")
