@@ -71,18 +71,41 @@ def _(t):
 
 
 def _turns(t):
-    """Turns of a conversation as the pages that one reader sees, in order."""
+    """Turns of eight conversations at a time as the pages that one reader sees, in order."""
     kinds = t.conversations.schema
     rows = t.spark.readStream.schema(kinds).option("pathGlobFilter", "conversations.parquet").parquet(t.sf_dir)
-    return rows.select(F.col("role").alias("reader"), (F.col("conv_id") * 1000 + F.col("turn")).alias("us"),
-                       (F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.split("text", "[ \n]+").alias("lines"))
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    return rows.select(F.floor(F.col("conv_id") / 8).alias("reader"), at.alias("us"), at.alias("event_id"),
+                       F.split("text", "[ \\n]+").alias("lines"))
 
 
 @query("t02_rebuild_gate")
 def _(t):
-    return _done(t, state.rebuild_gate(_turns(t), "reader", 0.05), "gate")
+    passes = _turns(t).withColumns({
+        "xs": F.transform("lines", lambda s: F.lit(0.0)), "ys": F.transform("lines", lambda s, i: i * F.lit(20.0) + F.col("us") % 3),
+        "frame": F.when(F.col("us") % 7 == 0, "800x600").otherwise("600x800"), "vote": (F.col("us") % 4).cast("int")})
+    return _done(t, state.rebuild_gate(passes, "reader", 0.05), "gate")
 
 
 @query("t03_page_turns")
 def _(t):
     return _done(t, state.page_turns(_turns(t), "reader", 0.05), "turns")
+
+
+_IN = "px between x and x + w and py between y and y + h"
+
+
+@query("t09_enrich_triggers", f"""
+with c as (select event_id, user_id, us, (event_id * 37) % 1400 as px, (event_id * 53) % 800 as py, (select max_by(p.event_id % 150, (p.us, p.event_id))
+  from v_events p where p.user_id = e.user_id and p.event_type = 'purchase' and p.us <= e.us) as layer from v_events e where event_type = 'click'),
+h as (select event_id, user_id, us, min_by(rect_id, (pow(2 * px - 2 * x - w, 2) + pow(2 * py - 2 * y - h, 2), rect_id)) as box from c
+  join v_rect r on r.snap = c.layer and r.layer = 0 and {_IN}
+  where not exists (select 1 from v_rect k where k.snap = c.layer and k.layer = 1 and px between k.x and k.x + k.w and py between k.y and k.y + k.h) group by all),
+n as (select *, lag(box) over (partition by user_id order by us, event_id) as was from h)
+select event_id, box from n where was is null or box <> was""")
+def _(t):
+    events = t.v_events.where("event_type = 'click'").select(
+        "event_id", "user_id", "us", (F.col("event_id") * 37 % 1400).alias("px"), (F.col("event_id") * 53 % 800).alias("py"))
+    layers = t.v_events.where("event_type = 'purchase'").select("user_id", "us", (F.col("event_id") % 150).alias("page"))
+    boxes = t.v_rect.select(F.col("snap").alias("page"), F.col("rect_id").alias("box"), "layer", "x", "y", "w", "h")
+    return stream.enrich_triggers(events, layers, boxes.where("layer = 0"), boxes.where("layer = 1"), ["user_id"]).select("event_id", "box")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.operators.geometry import drop_covered, hit_test
+from glyphlake.operators.sequence import as_of, changes_only
+
 
 def stream_sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """(key, start, end, n): a session closes once the watermark passes its last event by ``gap``."""
@@ -22,6 +25,19 @@ def correlate(requests: DataFrame, replies: DataFrame, key: str, ts: str, within
         f"key = _key and told >= asked and told <= asked + interval {within}")).drop("_key")
 
 
+def enrich_triggers(events: DataFrame, layers: DataFrame, boxes: DataFrame, covers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, us, event_id, .., box): the box that each event points at on the page its key saw then.
+
+    ``events`` has (keys, us, event_id, px, py), ``layers`` (keys, us, page), ``boxes`` (page, box, x, y, w, h) without
+    ruby, ``covers`` (page, x, y, w, h). Events under a cover, beside all boxes, or on the box of the key's event
+    before are left out. Written for one batch of events, as of a ``foreachBatch`` sink.
+    """
+    seen = as_of(events, layers, keys, "us", "page")
+    open_ = drop_covered(seen, covers.select("page", "x", "y", "w", "h"), ["page"], "event_id")
+    met = hit_test(open_, boxes.select("page", "box", "x", "y", "w", "h"), ["page"], "event_id", "box")
+    return changes_only(events.join(met.select("event_id", "box"), "event_id"), keys, ["us", "event_id"], "box")
+
+
 def run_through(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Everything a stream emits for what is there now, as a table."""
     query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -86,25 +86,39 @@ def page_turns(passes: DataFrame, key: str, turn: float = 0.5) -> DataFrame:
                      "event_id bigint", "adopted array<string>, waiting array<string>")
 
 
-def rebuild_gate(passes: DataFrame, key: str, alike: float = 0.85, streak: int = 2) -> DataFrame:
-    """(key, event_id, verdict): ``identical``, ``kept`` (close to the adopted page, at most ``streak`` in a row) or ``rebuilt``.
+def rebuild_gate(passes: DataFrame, key: str, alike: float = 0.85, streak: int = 2, jitter: float = 3) -> DataFrame:
+    """(key, event_id, verdict): what a reader's layer does with the next pass of its page.
 
-    ``passes`` has (key, us, event_id, lines). A rebuilt page becomes the adopted one, a kept one does not.
-    State: the adopted lines and the length of the streak.
+    ``identical`` lines stay; voted passes (``vote`` >= 2) with as many glyphs in each line are ``patched``;
+    pages that share more than ``alike`` of their lines with the adopted one are ``kept`` over, ``streak`` times in
+    a row at most; all others, and those whose frame or first glyphs moved, are ``rebuilt``. Patched and rebuilt
+    pages become the adopted one.
+
+    ``passes`` has (key, us, event_id, lines, xs, ys, frame, vote): texts of the lines and places of their first
+    glyphs. State: the adopted lines with their places and frame, and the length of the streak.
     """
     def step(memory, row):
-        adopted, kept = memory
-        lines = list(row.lines) if row.lines is not None else []
-        if adopted is not None and lines == list(adopted):
-            return (adopted, 0), (row.event_id, "identical")
-        if adopted is not None and kept < streak:
-            close = len(set(lines) & set(adopted)) / max(len(set(lines)), len(set(adopted)), 1)
-            if close > alike:
-                return (adopted, kept + 1), (row.event_id, "kept")
-        return (lines, 0), (row.event_id, "rebuilt")
-
-    return _stateful(passes.select(key, "us", "event_id", "lines"), key, ["us", "event_id"], step, (None, 0),
-                     "event_id bigint, verdict string", "adopted array<string>, streak int")
+        lines, xs, ys, frame, kept = memory
+        now = [] if row.lines is None else list(row.lines)
+        page = (now, [] if row.xs is None else [float(v) for v in row.xs], [] if row.ys is None else [float(v) for v in row.ys], row.frame)
+        if not lines:
+            return (*page, 0), (row.event_id, "rebuilt")
+        at = dict(zip(lines, zip(xs, ys)))
+        shift = max((max(abs(x - at[t][0]), abs(y - at[t][1])) for t, x, y in zip(*page[:3]) if t in at), default=0)
+        if frame == row.frame and shift <= jitter:
+            if now == list(lines):
+                return (lines, xs, ys, frame, 0), (row.event_id, "identical")
+            if row.vote is not None and row.vote >= 2 and now and [len(t) for t in now] == [len(t) for t in lines]:
+                return (*page, 0), (row.event_id, "patched")
+            before = set(lines)
+            close = sum(t in before for t in now) / max(len(now), len(before))
+            if close > alike and kept < streak:
+                return (lines, xs, ys, frame, kept + 1), (row.event_id, "kept")
+        return (*page, 0), (row.event_id, "rebuilt")
+
+    rows = passes.select(key, "us", "event_id", "lines", "xs", "ys", "frame", "vote")
+    return _stateful(rows, key, ["us", "event_id"], step, ([], [], [], None, 0), "event_id bigint, verdict string",
+                     "lines array<string>, xs array<double>, ys array<double>, frame string, streak int")
 
 
 def stall_alerts(events: DataFrame, key: str, ts: str, silence: int, late: str) -> DataFrame:
