@@ -83,12 +83,14 @@ def _(t):
 @query("j17_map_strip", """
 with n as (select page_id, max(li) as top, max(li) // 2 + 1 as rows from v_glyph group by page_id),
 g as (select g.*, least(greatest(floor((y + h / 2) / 24), 0), rows - 1)::int as row, floor((x + 5.0 - 3) / 10 + 0.5)::int as cell from v_glyph g join n using (page_id))
-select g.page_id, g.li, g.ci, row, cell, c.ch as source from g join v_glyph c on c.page_id = g.page_id and c.li = row and c.ci = cell""")
+select g.page_id, row, count(*) as n, sum(cell)::bigint as cells, md5(string_agg(c.ch, '' order by g.li, g.ci)) as source
+from g join v_glyph c on c.page_id = g.page_id and c.li = row and c.ci = cell group by g.page_id, row""")
 def _(t):
     rows = t.v_glyph.groupBy("page_id").agg((F.floor(F.max("li") / 2) + 1).alias("rows"))
     cells = t.v_glyph.select("page_id", F.col("li").alias("row"), F.col("ci").alias("cell"), F.col("ch").alias("source"))
     found = pages.map_strip(t.v_glyph.join(rows, "page_id"), cells, ["page_id"], "rows", 24.0, 3.0, 10.0)
-    return found.select("page_id", "li", "ci", "row", "cell", "source")
+    return found.groupBy("page_id", "row").agg(F.count("*").alias("n"), F.sum("cell").alias("cells"), F.md5(F.expr(
+        "listagg(source, '') within group (order by struct(li, ci))")).alias("source"))
 
 
 @query("j18_catalogue_status", "select n_nationkey, n_nationkey in (select s_nationkey from supplier) as installed from nation")
@@ -152,7 +154,8 @@ def _(t):
 
 @query("j20_match_glyphs")
 def _(t):
-    return pages.match_glyphs(*_two_reads(t), ["page_id"], "ch", ["li", "ci"])
+    found = pages.match_glyphs(*_two_reads(t), ["page_id"], "ch", ["li", "ci"])
+    return found.groupBy("page_id", "li").agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.count_if("placed").alias("placed"))
 
 
 def _two_reads(t):

@@ -106,12 +106,17 @@ _READ = """select page_id, li, ci, ch, x::int as x, trunc(y - 0.25)::int as y, w
   case when ci % 4 <> 3 then case ci % 5 when 0 then 0.0 when 1 then 0.23 when 2 then 0.57 when 3 then 0.9 else 1.0 end end::double as conf from v_glyph"""
 
 
-@query("s09_flatten_payload", _READ)
+@query("s09_flatten_payload", f"""
+with r as ({_READ}) select page_id, li, count(*) as n, md5(string_agg(ch, '' order by ci)) as text, sum(x)::bigint as x, sum(y)::bigint as y, sum(w)::bigint as w,
+  sum(h)::bigint as h, sum(round(conf * 100)::bigint)::bigint as conf from r group by page_id, li""")
 def _(t):
-    """Pages written as messages and read back."""
+    """Pages written as messages and read back, told line by line."""
     path = scratch_path(t.spark, "pages")
     messages.assemble_payload(_reads(t), ["page_id"]).write.parquet(path)
-    return messages.flatten_payload(t.spark.read.parquet(path), ["page_id"])
+    rows = messages.flatten_payload(t.spark.read.parquet(path), ["page_id"])
+    return rows.groupBy("page_id", "li").agg(
+        F.count("*").alias("n"), F.md5(F.expr("listagg(ch, '') within group (order by ci)")).alias("text"),
+        *[F.sum(c).alias(c) for c in "xywh"], F.sum(F.round(F.col("conf") * 100).cast("bigint")).alias("conf"))
 
 
 @query("s10_assemble_payload", f"""
