@@ -9,13 +9,16 @@
    for two sets with a probability equal to their weighted Jaccard similarity) are
    joined to bands. Texts of one band value are candidates.
 4. In a bucket every text is paired with two of its texts, the smallest key and
-   one drawn by the band, so the pairs are linear in the bucket's size; a large
-   family meets through other bands again. Pairs are verified exactly: their
-   weighted Jaccard similarity must reach the threshold, by these weights or by
-   counts alone. The second is for large families, whose common text is so
-   frequent that its weight no longer binds them.
+   one drawn by the band, so the pairs are linear in the bucket's size. Pairs are
+   verified exactly: their weighted Jaccard similarity must reach the threshold,
+   by these weights or by counts alone. The second is for large families, whose
+   common text is so frequent that its weight no longer binds them.
 5. Texts that verified pairs connect are one class, found by alternating star
    contraction over tables in the shared folder.
+6. Where a bucket still holds several classes, its texts meet once more by an exact
+   join: two similar texts share one of the rarest shingles of both (prefix
+   filter), and what stands behind it must be enough on both sides (positional
+   filter). What is verified joins the classes.
 """
 
 from __future__ import annotations
@@ -264,13 +267,94 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
+def _open_texts(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, root): the texts of buckets of three or more texts that hold more than one class."""
+    members = texts.join(roots, "key", "left").select(
+        "key", F.coalesce("root", "key").alias("root"), F.posexplode("bands").alias("band", "value"))
+    mixed = members.groupBy("band", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 and least <> most")
+    return members.join(mixed.select("band", "value"), ["band", "value"], "left_semi").select("key", "root").distinct()
+
+
+def prefixes(texts: DataFrame, vectors: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, root, shingle, short, by_count, by_weight): the rarest shingles of the texts (key, root).
+
+    In the order of weights, rarest first, the shingles from the first common one of
+    a similar pair on hold ``threshold`` of both texts and, as a pair's similarity s
+    is an overlap of s / (1 + s) of their sum, 2 * threshold / (1 + threshold) of the
+    smaller one: ``short``. Frequent shingles weigh less, so these shares by weights
+    are never above those by counts, and one list serves both. ``by_count`` and
+    ``by_weight`` are (all, rest): of the text, and from the shingle on. Shingles of
+    only one row are left out.
+    """
+    n = max(1, vectors.count())
+    once = 1 + (np.log1p(n) + np.log1p(n / 2)) / 2 / DAMPING  # between the weights of frequency 1 and 2
+    shared = vectors.sparkSession.sparkContext.broadcast(idf)
+    held = _held(vectors.select("key", "shingles", "counts"), texts.select("key")).groupBy("key").agg(
+        F.first(F.struct("shingles", "counts")).alias("v"))
+    rows = texts.join(held, "key").select("key", "root", "v.shingles", "v.counts")
+    part = 2 * threshold / (1 + threshold)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                taken, out = [], {k: [] for k in ("e", "short", "n", "n_rest", "w", "w_rest")}
+                for row, (s, c) in enumerate(zip(some.column("shingles"), some.column("counts"))):
+                    counts = c.as_py()
+                    h, w = _weights(s.as_buffer(), counts, shared.value)
+                    one = shared.value[h & np.uint32(COUNTERS - 1)]
+                    order = np.lexsort((h, -one))
+                    h, w, one = h[order], w[order].astype(float), one[order]
+                    m = np.ones(len(h)) if counts is None else np.frombuffer(counts, np.uint16)[order].astype(float)
+                    n_rest, w_rest = m[::-1].cumsum()[::-1], w[::-1].cumsum()[::-1]
+                    keep = np.nonzero((n_rest >= (threshold - 1e-6) * n_rest[:1]) & (one < once))[0]
+                    taken.append(np.full(len(keep), row))
+                    for name, values in (("e", h), ("short", n_rest >= (part - 1e-6) * n_rest[:1]), ("n", np.full(len(h), n_rest[:1])),
+                                         ("n_rest", n_rest), ("w", np.full(len(h), w_rest[:1])), ("w_rest", w_rest)):
+                        out[name].append(values[keep])
+                taken = pa.array(np.concatenate(taken))
+                out = {name: np.concatenate(values) for name, values in out.items()}
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("key").take(taken), some.column("root").take(taken), pa.array(out["e"].astype(np.int64)),
+                     pa.array(out["short"].astype(bool)), *(pa.array(out[x]) for x in ("n", "n_rest", "w", "w_rest"))],
+                    ["key", "root", "shingle", "short", "n", "n_rest", "w", "w_rest"])
+
+    flat = rows.mapInArrow(run, "key binary, root binary, shingle bigint, short boolean, n double, n_rest double, w double, w_rest double")
+    return flat.select("key", "root", "shingle", "short", F.struct(F.col("n").alias("all"), F.col("n_rest").alias("rest")).alias("by_count"),
+                       F.struct(F.col("w").alias("all"), F.col("w_rest").alias("rest")).alias("by_weight"))
+
+
+def remaining_pairs(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, root_a, root_b): the pairs of different classes that the rows of ``prefixes`` leave possible.
+
+    A shingle's largest class meets the others but not itself, so a family that is
+    one class costs no more than its size.
+    """
+    classes = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"), F.bool_or("short").alias("short"))
+    useful = classes.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.bool_or("short").alias("short"))
+    rows = entries.join(useful.where("k > 1 and short").select("shingle", "largest"), "shingle")
+    mine = rows.where("root <> largest").drop("largest")
+    other = rows.drop("largest").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("key", "root", "short", "by_count", "by_weight")))
+    met = mine.where("short").join(other, "shingle").unionByName(mine.where("not short").join(other.where("short_"), "shingle"))
+    part = threshold / (1 + threshold) - 1e-6
+    enough = [F.least(f"{c}.rest", f"{c}_.rest") >= part * (F.col(f"{c}.all") + F.col(f"{c}_.all")) for c in ("by_count", "by_weight")]
+    turned = F.col("key") > F.col("key_")
+    return met.where("root <> root_").where(enough[0] | enough[1]).select(
+        F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b"),
+        F.when(turned, F.col("root_")).otherwise(F.col("root")).alias("root_a"),
+        F.when(turned, F.col("root")).otherwise(F.col("root_")).alias("root_b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rows: int = ROWS,
                     bands: int = BANDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, key, class_id, n_links, kept): one row per row of ``docs``.
 
     ``class_id`` is the least id of the rows whose texts are equal or connected
-    by verified pairs, ``n_links`` the number of different texts its text is
-    verified to be similar to, ``kept`` marks the rows with the class's least id
+    by verified pairs, ``n_links`` the number of different texts its text was
+    compared with and found similar to (not all similar texts of a large family),
+    ``kept`` marks the rows with the class's least id
     and, if several texts have that id, its least text. Null and empty texts are
     one text; texts without words have no near-duplicates but their copies. Null
     ids are larger than all others. Other columns are not carried.
@@ -282,9 +366,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         F.min(order)["doc_id"].alias("doc_id"), F.first("bands").alias("bands")), "texts")
     pairs = written(candidate_pairs(texts), "pairs")
     links = written(verified_pairs(pairs, vectors, idf, threshold), "links")
+    roots = components(links)
+    entries = written(prefixes(written(_open_texts(texts, roots), "open"), vectors, idf, threshold), "prefixes")
+    rest = written(remaining_pairs(entries, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = written(verified_pairs(rest.select("a", "b"), vectors, idf, threshold).join(rest, ["a", "b"]), "more")
+    merged = components(more.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")))
+    links = links.select("a", "b").unionByName(more.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = (texts.select("key", "doc_id").join(components(links), "key", "left").join(degree, "key", "left")
-              .withColumn("root", F.coalesce("root", "key")))
+    rooted = (texts.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+              .join(merged.select(F.col("key").alias("root"), F.col("root").alias("top")), "root", "left")
+              .select("key", "doc_id", F.coalesce("top", "root").alias("root")).join(degree, "key", "left"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
     heads = rooted.groupBy("root").agg(first.alias("head"))
     classes = rooted.join(heads, "root").select("key", F.col("head.doc_id").alias("class_id"),

@@ -297,6 +297,29 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_template_family(spark):
+    """Texts that share a long template are below the threshold; the copies among them must still be found."""
+    rng = random.Random(21)
+    template, docs, copies = [f"t{k}" for k in range(230)], [], []
+    for i in range(400):
+        own = [f"u{i}x{k}" for k in range(30)]
+        docs.append((i, " ".join(template + own)))
+        if i < 80:
+            changed = template + own
+            for at in rng.sample(range(5, 230, 8), 4):
+                changed[at] = f"v{i}x{at}"
+            docs.append((1000 + i, " ".join(changed)))
+            copies.append((i, 1000 + i))
+    rng.shuffle(docs)
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in docs}
+    pairs = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert pairs == set(copies)
+    rows = near_dedup.near_duplicates(frame(spark, docs)).collect()
+    got = {r.doc_id: r.class_id for r in rows}
+    assert [b for a, b in copies if got[a] != got[b]] == []
+    assert len(set(got.values())) == 400 and sum(r.kept for r in rows) == 400
+
+
 def test_consistent_samples_follow_weighted_jaccard():
     rng = np.random.default_rng(4)
     h = np.arange(400, dtype=np.uint32) * np.uint32(2654435761)
