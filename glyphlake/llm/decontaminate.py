@@ -90,10 +90,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                   text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no leak, with all their columns.
+    """The rows of ``docs`` whose text has no leak, with all their columns.
 
-    Rows that share an id go or stay together; a null id is an id like others.
+    A row is known by its id and the MD5 of its text, so rows that share an id, or
+    have none, are judged each by their own text.
     """
-    leaks = find_leaks(docs, benchmark, window, doc_id, text, item_id, item_text)
-    bad = leaks.where("contaminated").select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_leaky")), "left_anti")
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    named = docs.withColumn("_own", F.struct(F.col(doc_id).alias("id"), key.alias("key")))
+    leaks = find_leaks(named, benchmark, window, "_own", text, item_id, item_text)
+    bad = leaks.where("contaminated").select(F.col("doc_id.id").alias("_leaky"), F.col("doc_id.key").alias("_leaky_key")).distinct()
+    return named.join(bad, F.col(doc_id).eqNullSafe(F.col("_leaky")) & (F.col("_own.key") == F.col("_leaky_key")), "left_anti").drop("_own")

@@ -203,6 +203,14 @@ def test_leaks(spark, monkeypatch, bound):
     assert decontaminate.find_leaks(frame(spark, docs), b.limit(0)).where("contaminated").count() == 0
 
 
+def test_leaking_rows_take_no_others_with_them(spark):
+    item = prose(30)
+    docs = [(None, item), (None, "clean"), (None, None), (1, "x " + item), (1, "clean too"), (1, "x " + item), (2, "")]
+    clean = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame([(0, item)], "item_id bigint, text string"))
+    assert clean.columns == frame(spark, docs).columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(docs[k] for k in (1, 2, 4, 6))
+
+
 def test_warc(spark, tmp_path):
     body = "<p>\r\n\r\nWARC/1.1\r\n ü</p>\r\n"
     rows = [(1, "http://a.b.com/x", body), (9, "http://b.com/", body), (3, None, body), (4, "http://z.org/\r\nWARC-Type: x", ""),
