@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import ann, chat_format, decontaminate, license_scan, near_dedup, packing, quality, sql, toxicity, url_filter, warc
+from glyphlake.llm import (ann, chat_format, decontaminate, lexical, license_scan, merkle, near_dedup, packing, quality, sql, toxicity,
+                           url_filter, warc)
 from glyphlake.llm.common import table
 from glyphlake.session import scratch_path
 
@@ -75,10 +76,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_toxicity, op4_quality, op5_decontaminate,
-                                op6_warc, op7_ann, op8_near_dedup, op9_packing, op10_license_scan)}
+                                op6_warc, op7_ann, op8_near_dedup, op9_packing, op10_license_scan, op11_lexical_search,
+                                op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": sql.OP1, "op2_chat_format": sql.OP2, "op5_decontaminate": sql.OP5, "op6_warc": sql.OP6,
-    "op10_license_scan": sql.op10(license_scan.PHRASES, license_scan.TEMPLATES, license_scan.THRESHOLD)}
+    "op10_license_scan": sql.op10(license_scan.PHRASES, license_scan.TEMPLATES, license_scan.THRESHOLD),
+    "op11_lexical_search": sql.OP11, "op13_merkle_manifest": sql.OP13}

@@ -99,3 +99,52 @@ select doc_id, len(w)::bigint as n_words, len(places)::bigint as n_base, list_mi
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') as labels,
   case when len(places) > 0 then 1.0::double else coalesce(c, 0)::double end as score
 from base left join found using (r)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bit = "lambda a, z: xor(a >> 1, case when a & 1 = 1 then 3988292384::bigint else 0::bigint end)"
+    step = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {codes}), {step}), 4294967295::bigint)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+OP13 = f"""
+with recursive f as (select doc_id, source, text, {" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))} as head from documents),
+leaf as (select doc_id, coalesce('s' || source, '-') as tree, sha256(head || {_field("text")}) as h, sha256(head ||
+  case when doc_id is not null and {_crc32("doc_id::varchar")} % 2 = 0 then {_field("replace(text, chr(10), '')")} else {_field("text")} end) as bad from f),
+l as materialized (select *, row_number() over () as r, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as pos,
+  count(*) over (partition by tree) as n from leaf),
+nodes as (select tree, 0 as level, pos, n, h from l union all
+  select tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by tree, level, pos // 3, n),
+subs as materialized (select tree, h as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from nodes where n = 1),
+tops as (select 0 as level, pos, n, subroot as h from subs union all
+  select level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by level, pos // 3, n),
+near as (select r, k.level, k.pos - l.pos // (3 ** k.level)::bigint as d, k.h from l join nodes k on k.tree = l.tree and k.n > 1
+    and k.pos // 3 = l.pos // (3 ** (k.level + 1))::bigint
+  union all select r, 1000 + k.level, k.pos - s.pos // (3 ** k.level)::bigint, k.h from l join subs s on s.tree = l.tree join tops k on k.n > 1
+    and k.pos // 3 = s.pos // (3 ** (k.level + 1))::bigint),
+steps as materialized (select r, row_number() over (partition by r order by level) as step, coalesce(string_agg(h, '' order by d) filter (d < 0), '') as a,
+  coalesce(string_agg(h, '' order by d) filter (d > 0), '') as b from near group by r, level),
+proofs as (select r, count(*) as top, sha256(string_agg(a || b, '' order by step)) as proof from steps group by r),
+folds as (select r, 0 as step, bad as h from l union all
+  select f.r, f.step + 1, sha256(s.a || f.h || s.b) from folds f join steps s on s.r = f.r and s.step = f.step + 1)
+select doc_id, l.h as leaf, subroot, t.h as root, coalesce(proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = t.h as verified
+from l join subs using (tree) join tops t on t.n = 1 left join proofs p on p.r = l.r join folds f on f.r = l.r and f.step = coalesce(p.top, 0)"""
+
+OP11 = f"""
+with d as (select doc_id, row_number() over () as r, {_WORDS.format("coalesce(text, '')")} as w from documents),
+i as (select item_id, row_number() over () as i, {_WORDS.format("coalesce(text, '')")} as w from benchmark),
+q as (select i, item_id, term, count(*) as times from (select i, item_id, unnest(w) as term from i) group by all),
+o as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by all),
+s as (select count(*) as n_docs, sum(len(w))::bigint as n_terms from d where len(w) > 0),
+g as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as weight from o, s group by term, n_docs),
+m as (select r, doc_id, 25 + (75 * len(w) * n_docs) // n_terms as m from d, s),
+f as (select i, item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from q join o using (term) join g using (term) join m using (r) group by i, item_id, r, doc_id)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank
+  from f where score > 0) where rank <= 10"""
