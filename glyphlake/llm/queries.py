@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import (ann, chat_format, decontaminate, lexical, license_scan, merkle, near_dedup, packing, quality, sql, toxicity,
-                           url_filter, warc)
+from glyphlake.llm import (ann, chat_format, decontaminate, lexical, license_scan, merkle, near_dedup, packing, quality, repeats, sql,
+                           toxicity, url_filter, warc)
 from glyphlake.llm.common import table
 from glyphlake.session import scratch_path
 
@@ -81,6 +81,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without strings that an earlier one has."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and check of every document."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
@@ -89,9 +96,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_toxicity, op4_quality, op5_decontaminate,
                                 op6_warc, op7_ann, op8_near_dedup, op9_packing, op10_license_scan, op11_lexical_search,
-                                op13_merkle_manifest)}
+                                op12_suffix_dedup, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": sql.OP1, "op2_chat_format": sql.OP2, "op5_decontaminate": sql.OP5, "op6_warc": sql.OP6,
     "op10_license_scan": sql.op10(license_scan.PHRASES, license_scan.TEMPLATES, license_scan.THRESHOLD),
-    "op11_lexical_search": sql.OP11, "op13_merkle_manifest": sql.OP13}
+    "op11_lexical_search": sql.OP11, "op12_suffix_dedup": sql.OP12, "op13_merkle_manifest": sql.OP13}

@@ -148,3 +148,18 @@ f as (select i, item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (100
   from q join o using (term) join g using (term) join m using (r) group by i, item_id, r, doc_id)
 select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank
   from f where score > 0) where rank <= 10"""
+
+OP12 = """
+with d as (select doc_id, row_number() over () as r, coalesce(doc_id, 9223372036854775807) as k, encode(coalesce(text, '')) as b from documents),
+w as (select r, k, pos, array_slice(b, pos + 1, pos + 50) as s from (select r, k, b, unnest(range(octet_length(b) - 49)) as pos from d)),
+m as (select s, min(k) as least from w group by s having min(k) < max(k)),
+hit as (select r, pos from w join m using (s) where k > least),
+n as (select r, pos, coalesce(pos > lag(pos) over (partition by r order by pos) + 50, true)::int as fresh from hit),
+i as (select r, pos, sum(fresh) over (partition by r order by pos) as run from n),
+s as (select r, min(pos) as a, max(pos) + 50 as z from i group by r, run),
+e as (select r, z as a from s union all select r, 0 from d),
+g as (select r, a, coalesce((select min(s.a) from s where s.r = e.r and s.a >= e.a), octet_length(d.b)) as z from e join d using (r)),
+k as (select r, sha256(unhex(string_agg(hex(array_slice(b, a + 1, z)), '' order by a))) as kept_sha256, sum(z - a) as kept from g join d using (r) group by r),
+c as (select r, count(*) as n_spans from s group by r)
+select doc_id, octet_length(b)::bigint as n_bytes, (octet_length(b) - kept)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, kept_sha256
+from d join k using (r) left join c using (r)"""
