@@ -7,7 +7,8 @@ stands to their left. The windows of one anchor are one extent, at most
 ``2 * WINDOW - GRAM`` bytes long.
 
 1. Texts are written as compressed chunks. A chunk sends the hashes of its grams to hash
-   buckets, which answer with one bit for each: another chunk has it too.
+   buckets, which answer with one bit for each: another chunk has it too. Texts that equal
+   a whole earlier one are told by their hash and take no further part.
 2. For grams that several documents have, each different extent of a chunk becomes one
    suffix row, with the least id of the chunk's documents that hold it. Copies inside a
    chunk thus never reach the shuffle.
@@ -19,11 +20,13 @@ stands to their left. The windows of one anchor are one extent, at most
    They are compared across all buckets, window by window, by grouping.
 5. The marks go back to the chunks, which cut the marked windows out.
 
-Texts are compared byte by byte; hashes only choose what is compared.
+Texts are compared byte by byte, or by MD5 as a whole; other hashes only choose what is compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,11 +40,11 @@ GRAM = 20
 #: Bytes of text and documents of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 20_000
 #: Grams that one hash bucket, and suffixes that one range bucket should hold.
-BUCKET_GRAMS, BUCKET_SUFFIXES = 1 << 22, 1 << 17
+BUCKET_GRAMS, BUCKET_SUFFIXES = 1 << 21, 1 << 16
 #: Positions hashed at a time.
 _SLICE = 1 << 17
 _LAST = np.iinfo(np.int64).max
-_CHUNK = "chunk bigint, ids array<bigint>, sizes array<bigint>, data binary"
+_CHUNK = "chunk bigint, ids array<bigint>, sizes array<bigint>, hashes array<binary>, data binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(chunk, ids, sizes, data): texts laid end to end and compressed, null as empty."""
+    """(chunk, ids, sizes, hashes, data): texts laid end to end and compressed, null as empty."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
@@ -63,8 +66,9 @@ def text_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         def chunk():
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(parts))], pa.binary())],
-                ["chunk", "ids", "sizes", "data"])
+                 pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
+                 pa.array([[hashlib.md5(p).digest() for p in parts]], pa.list_(pa.binary())),
+                 pa.array([pack.compress(b"".join(parts))], pa.binary())], ["chunk", "ids", "sizes", "hashes", "data"])
 
         for batch in batches:
             for key, value in zip(batch.column("doc_id"), batch.column("text")):
@@ -233,7 +237,7 @@ def gram_buckets(chunks: DataFrame, buckets: int) -> DataFrame:
                 [pa.array(bucket[first], pa.int32()), pa.array([row["chunk"].as_py()] * len(grams), pa.int64()), pa.array(grams, pa.binary())],
                 ["bucket", "chunk", "grams"])
 
-    return chunks.select(*(c.split()[0] for c in _CHUNK.split(", "))).mapInArrow(run, "bucket int, chunk bigint, grams binary")
+    return chunks.select("chunk", "ids", "sizes", "data").mapInArrow(run, "bucket int, chunk bigint, grams binary")
 
 
 def shared_grams(grams: DataFrame) -> DataFrame:
@@ -248,8 +252,17 @@ def shared_grams(grams: DataFrame) -> DataFrame:
     return grams.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, bits binary")
 
 
+def later_copies(chunks: DataFrame) -> DataFrame:
+    """(chunk, copies): places of texts of at least a window that a document with a smaller id has as they are."""
+    id_ = F.coalesce(F.col("t.ids"), F.lit(_LAST))
+    texts = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "sizes", "hashes")).alias("place", "t")).where(
+        F.col("t.sizes") >= WINDOW).select("chunk", "place", id_.alias("id"), F.col("t.hashes").alias("hash"))
+    least = texts.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    return texts.join(least, "hash").where("id > least").groupBy("chunk").agg(F.collect_list("place").alias("copies"))
+
+
 class _Candidates:
-    """Extents of a chunk whose gram several documents have, each different one once.
+    """Extents of a chunk whose gram several documents have, each different one once; without those of later copies.
 
     ``which`` are their indexes among ``extents``, ``kind`` the number of the different
     extent, ``sample`` one index of each, ``least`` the least id of the documents that hold it.
@@ -266,10 +279,13 @@ class _Candidates:
             low, high = np.searchsorted(bucket, [flag["bucket"], flag["bucket"] + 1])
             shared[low:high] = np.unpackbits(np.frombuffer(flag["bits"], np.uint8), count=high - low).astype(bool)
         doc = self.ids[e.doc] if len(e.doc) else np.zeros(0, np.int64)
+        self.copied = np.zeros(len(self.ids), bool)
+        self.copied[row["copies"].as_py() or []] = True
+        first = ~self.copied[e.doc] if len(e.doc) else np.zeros(0, bool)
         least, most = np.full(n, _LAST), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(least, at, doc)
-        np.maximum.at(most, at, doc)
-        self.which = np.nonzero((shared | (least < most))[at])[0]
+        np.minimum.at(least, at[first], doc[first])
+        np.maximum.at(most, at[first], doc[first])
+        self.which = np.nonzero((shared | (least < most))[at] & first)[0]
         start, size = e.start[self.which], e.count[self.which] + WINDOW - 1
         width = 2 * WINDOW - GRAM
         body = np.zeros((len(start), width + 4), np.uint8)
@@ -354,19 +370,29 @@ def cut_chunks(chunks: DataFrame, buckets: int) -> DataFrame:
             marks = np.zeros(len(found.sample), np.int64)
             for mark in row["marks"].as_py() or ():
                 marks[mark["kind"]] |= mark["marks"]
-            later = found.ids[e.doc[which]] > found.least[found.kind] if len(which) else np.zeros(0, bool)
-            starts = []
+            marks = marks[found.kind]
+            start, count = e.start[which], e.count[which]
+            whole = marks == (np.int64(1) << count) - 1
+            if len(which):
+                whole |= found.ids[e.doc[which]] > found.least[found.kind]
+            # Runs of marked windows: of a whole extent, or single ones.
+            begins, stops = [start[whole]], [start[whole] + count[whole] - 1 + WINDOW]
+            part = np.nonzero(~whole & (marks != 0))[0]
             for k in range(WINDOW - GRAM + 1):
-                hit = (k < e.count[which]) & (later | ((marks[found.kind] >> np.int64(k)) & 1).astype(bool))
-                starts.append(e.start[which][hit] + k)
-            starts = np.sort(np.concatenate(starts))
+                hit = part[(marks[part] >> np.int64(k)) & 1 == 1]
+                begins.append(start[hit] + k)
+                stops.append(start[hit] + k + WINDOW)
             ends = np.cumsum(found.sizes)
-            doc = np.searchsorted(ends, starts, side="right")
-            fresh = np.append(True, (starts[1:] > starts[:-1] + WINDOW) | (doc[1:] != doc[:-1]))[:len(starts)]
+            copied = np.nonzero(found.copied)[0]
+            begins, stops = np.concatenate([*begins, ends[copied] - found.sizes[copied]]), np.concatenate([*stops, ends[copied]])
+            order = np.argsort(begins, kind="stable")
+            begins, stops = begins[order], stops[order]
+            doc = np.searchsorted(ends, begins, side="right")
+            fresh = np.append(True, (begins[1:] > stops[:-1]) | (doc[1:] != doc[:-1]))[:len(begins)]
             first = np.nonzero(fresh)[0]
-            last = np.append(first[1:], len(starts))[:len(first)] - 1
+            last = np.append(first[1:], len(begins))[:len(first)] - 1
             spans: dict[int, list[tuple[int, int]]] = {}
-            for d, a, b in zip(doc[first].tolist(), starts[first].tolist(), (starts[last] + WINDOW).tolist()):
+            for d, a, b in zip(doc[first].tolist(), begins[first].tolist(), stops[last].tolist()):
                 spans.setdefault(d, []).append((a, b))
             keys = row["ids"].as_py()
             for at in range(0, len(keys), 1_000):
@@ -402,7 +428,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = int(total * 2 // (WINDOW - GRAM + 2) // BUCKET_GRAMS) + 1
     flags = written(shared_grams(gram_buckets(chunks, buckets)), "shared")
     flags = flags.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
-    flagged = chunks.join(flags, "chunk", "left")
+    copies = written(later_copies(chunks), "copies")
+    flagged = chunks.drop("hashes").join(flags.join(copies, "chunk", "full"), "chunk", "left")
     suffixes = written(suffix_rows(flagged, buckets), "suffixes")
     least = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = written(bucket_marks(suffixes, max(least, suffixes.count() // BUCKET_SUFFIXES + 1)), "marks")
