@@ -17,7 +17,8 @@ stands to their left. The windows of one anchor are one extent, at most
    quicksort. Neighbours with a common prefix that is long enough share windows; the
    least id of each window decides which rows come later.
 4. Rows whose gram is the bucket's first or last may have partners beyond the boundary.
-   They are compared across all buckets, window by window, by grouping.
+   Their windows that no row of the bucket precedes are compared across all buckets by
+   grouping, so a string of a hot passage is sent once a bucket.
 5. The marks go back to the chunks, which cut the marked windows out.
 
 Texts are compared byte by byte, or by MD5 as a whole; other hashes only choose what is compared.
@@ -317,7 +318,7 @@ def suffix_rows(chunks: DataFrame, buckets: int) -> DataFrame:
 
 
 def bucket_marks(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """Range buckets: (chunk, kind, marks) where the bucket decides, else the suffix rows with null marks."""
+    """(suffix, left, doc, chunk, kind, marks) of range buckets; without suffix where the bucket alone decides."""
     ranged = suffixes.repartitionByRange(buckets, "suffix", "left", "doc", "chunk")
 
     def run(batches):
@@ -327,32 +328,28 @@ def bucket_marks(suffixes: DataFrame, buckets: int) -> DataFrame:
         table = pa.Table.from_batches(held)
         suffix, left = table.column("suffix").to_pylist(), table.column("left").to_pylist()
         low, high = min(suffix)[:GRAM], max(suffix)[:GRAM]
-        edge = np.array([low == s[:GRAM] or high == s[:GRAM] for s in suffix])
-        for rows in (np.nonzero(~edge)[0], np.nonzero(edge)[0]):
-            part = table.take(pa.array(rows))
-            if not len(rows):
-                continue
-            if edge[rows[0]]:
-                part = part.append_column("marks", pa.nulls(len(rows), pa.int64()))
-                yield from part.to_batches(max_chunksize=10_000)
-                continue
-            marks = later_windows([suffix[i] for i in rows], [left[i] for i in rows], part.column("doc").to_numpy())
-            some = np.nonzero(marks)[0]
-            if len(some):
-                none = pa.nulls(len(some), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, pa.nulls(len(some), pa.int64()), part.column("chunk").take(some).combine_chunks(),
-                     part.column("kind").take(some).combine_chunks(), pa.array(marks[some])],
-                    ["suffix", "left", "doc", "chunk", "kind", "marks"])
+        marks = later_windows(suffix, left, table.column("doc").to_numpy())
+        size = np.array([len(a) + len(b) - WINDOW + 1 for a, b in zip(left, suffix)])
+        open_ = marks != (np.int64(1) << size) - 1
+        edge = np.array([low == s[:GRAM] or high == s[:GRAM] for s in suffix]) & open_
+        for rows in np.array_split(np.nonzero(edge)[0], edge.sum() // 10_000 + 1):
+            yield from table.take(pa.array(rows)).append_column("marks", pa.array(marks[rows])).combine_chunks().to_batches()
+        inner = np.nonzero(~edge & (marks != 0))[0]
+        for rows in np.array_split(inner, len(inner) // 100_000 + 1):
+            none = pa.nulls(len(rows), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, pa.nulls(len(rows), pa.int64()), table.column("chunk").take(rows).combine_chunks(),
+                 table.column("kind").take(rows).combine_chunks(), pa.array(marks[rows])],
+                ["suffix", "left", "doc", "chunk", "kind", "marks"])
 
     return ranged.mapInArrow(run, "suffix binary, left binary, doc bigint, chunk bigint, kind bigint, marks bigint")
 
 
 def boundary_marks(rows: DataFrame) -> DataFrame:
-    """(chunk, kind, marks): windows of ``rows`` (suffix, left, doc, chunk, kind) that a row with a smaller id has too."""
+    """(chunk, kind, marks): unmarked windows of ``rows`` (suffix, left, doc, chunk, kind, marks) that a row with a smaller id has too."""
     body = F.concat("left", "suffix")
-    windows = rows.select("doc", "chunk", "kind", body.alias("body"), F.explode(
-        F.sequence(F.lit(0), F.octet_length(body) - WINDOW)).alias("at")).select(
+    windows = rows.select("doc", "chunk", "kind", body.alias("body"), "marks", F.sequence(F.lit(0), F.octet_length(body) - WINDOW).alias("all"))
+    windows = windows.select("doc", "chunk", "kind", "body", F.explode(F.expr("filter(all, i -> getbit(marks, i) = 0)")).alias("at")).select(
         "doc", "chunk", "kind", "at", F.expr(f"substring(body, at + 1, {WINDOW})").alias("window"))
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     bit = F.expr("shiftleft(cast(1 as bigint), at)")
@@ -433,8 +430,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     suffixes = written(suffix_rows(flagged, buckets), "suffixes")
     least = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = written(bucket_marks(suffixes, max(least, suffixes.count() // BUCKET_SUFFIXES + 1)), "marks")
-    marks = sorted_.where("marks is not null").select("chunk", "kind", "marks").unionByName(
-        boundary_marks(sorted_.where("marks is null")))
+    marks = sorted_.where("marks <> 0").select("chunk", "kind", "marks").unionByName(
+        boundary_marks(sorted_.where("suffix is not null")))
     marks = marks.groupBy("chunk", "kind").agg(F.bit_or("marks").alias("marks")).groupBy("chunk").agg(
         F.collect_list(F.struct("kind", "marks")).alias("marks"))
     return cut_chunks(flagged.join(marks, "chunk", "left"), buckets)
