@@ -427,9 +427,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     flags = flags.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
     copies = written(later_copies(chunks), "copies")
     flagged = chunks.drop("hashes").join(flags.join(copies, "chunk", "full"), "chunk", "left")
-    suffixes = written(suffix_rows(flagged, buckets), "suffixes")
+    suffixes = written(suffix_rows(flagged, buckets), "suffixes", compression="zstd")
     least = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = written(bucket_marks(suffixes, max(least, suffixes.count() // BUCKET_SUFFIXES + 1)), "marks")
+    sorted_ = written(bucket_marks(suffixes, max(least, suffixes.count() // BUCKET_SUFFIXES + 1)), "marks",
+                      compression="zstd")
     marks = sorted_.where("marks <> 0").select("chunk", "kind", "marks").unionByName(
         boundary_marks(sorted_.where("suffix is not null")))
     marks = marks.groupBy("chunk", "kind").agg(F.bit_or("marks").alias("marks")).groupBy("chunk").agg(
