@@ -17,8 +17,10 @@ stands to their left. The windows of one anchor are one extent, at most
    quicksort. Neighbours with a common prefix that is long enough share windows; the
    least id of each window decides which rows come later.
 4. Rows whose gram is the bucket's first or last may have partners beyond the boundary.
-   Their windows that no row of the bucket precedes are compared across all buckets by
-   grouping, so a string of a hot passage is sent once a bucket.
+   They are range-partitioned once more, by their left contexts read backwards, and compared
+   in those buckets. What is left are windows that no row of their bucket precedes and whose
+   left context is that of the bucket's first or last row: they are compared across all
+   buckets by grouping, so a string of a hot passage is sent about once a bucket.
 5. The marks go back to the chunks, which cut the marked windows out.
 
 Texts are compared byte by byte, or by MD5 as a whole; other hashes only choose what is compared.
@@ -181,12 +183,15 @@ def sorted_strings(strings: list[bytes], width: int) -> tuple[np.ndarray, np.nda
     return order, np.append(0, common)
 
 
-def later_windows(suffixes: list[bytes], lefts: list[bytes], docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Per row a bit for each of its windows that a row with a smaller id has too, counted from the row's first window."""
+def later_windows(suffixes: list[bytes], backs: list[bytes], docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Per row a bit for each of its windows that a row with a smaller id has too, counted from the row's first window.
+
+    A row's text is ``backs`` read backwards and then ``suffixes``; windows begin in the former or with the latter.
+    """
     n = len(suffixes)
-    sizes, befores = np.array([len(s) for s in suffixes]), np.array([len(s) for s in lefts])
+    sizes, befores = np.array([len(s) for s in suffixes]), np.array([len(s) for s in backs])
     order, common = sorted_strings(suffixes, window)
-    back, back_common = sorted_strings([s[::-1] for s in lefts], window)
+    back, back_common = sorted_strings(backs, window)
     marks, run, side = np.zeros(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
     for left in range(int(befores.max(initial=-1)) + 1):
         rows = np.nonzero((befores >= left) & (sizes >= window - left))[0]
@@ -301,7 +306,7 @@ class _Candidates:
 
 
 def suffix_rows(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(suffix, left, doc, chunk, kind): from the anchor on and before it, of each different extent of a chunk with ``flags``."""
+    """(suffix, back, doc, chunk, kind): from the anchor on, and backwards from it, of each different extent of a chunk with ``flags``."""
     def run(batches):
         for row in _rows(batches):
             found = _Candidates(row, buckets)
@@ -310,26 +315,30 @@ def suffix_rows(chunks: DataFrame, buckets: int) -> DataFrame:
                 some = found.sample[at:at + 50_000]
                 spans = list(zip(e.start[some].tolist(), e.anchor[some].tolist(), (e.start[some] + e.count[some] + WINDOW - 1).tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([raw[p:b] for _, p, b in spans], pa.binary()), pa.array([raw[a:p] for a, p, _ in spans], pa.binary()),
+                    [pa.array([raw[p:b] for _, p, b in spans], pa.binary()), pa.array([raw[a:p][::-1] for a, p, _ in spans], pa.binary()),
                      pa.array(found.least[at:at + 50_000]), pa.array([row["chunk"].as_py()] * len(some), pa.int64()),
-                     pa.array(np.arange(at, at + len(some)), pa.int64())], ["suffix", "left", "doc", "chunk", "kind"])
+                     pa.array(np.arange(at, at + len(some)), pa.int64())], ["suffix", "back", "doc", "chunk", "kind"])
+
+    return chunks.mapInArrow(run, "suffix binary, back binary, doc bigint, chunk bigint, kind bigint")
+
 
-    return chunks.mapInArrow(run, "suffix binary, left binary, doc bigint, chunk bigint, kind bigint")
+def _whole(batches) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
 
 
 def bucket_marks(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """(suffix, left, doc, chunk, kind, marks) of range buckets; without suffix where the bucket alone decides."""
-    ranged = suffixes.repartitionByRange(buckets, "suffix", "left", "doc", "chunk")
+    """(suffix, back, doc, chunk, kind, marks) of range buckets; without suffix where the bucket alone decides."""
+    ranged = suffixes.repartitionByRange(buckets, "suffix", "back", "doc", "chunk")
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        table = _whole(batches)
+        if table is None:
             return
-        table = pa.Table.from_batches(held)
-        suffix, left = table.column("suffix").to_pylist(), table.column("left").to_pylist()
+        suffix, back = table.column("suffix").to_pylist(), table.column("back").to_pylist()
         low, high = min(suffix)[:GRAM], max(suffix)[:GRAM]
-        marks = later_windows(suffix, left, table.column("doc").to_numpy())
-        size = np.array([len(a) + len(b) - WINDOW + 1 for a, b in zip(left, suffix)])
+        marks = later_windows(suffix, back, table.column("doc").to_numpy())
+        size = np.array([len(a) + len(b) - WINDOW + 1 for a, b in zip(back, suffix)])
         open_ = marks != (np.int64(1) << size) - 1
         edge = np.array([low == s[:GRAM] or high == s[:GRAM] for s in suffix]) & open_
         for rows in np.array_split(np.nonzero(edge)[0], edge.sum() // 10_000 + 1):
@@ -340,20 +349,48 @@ def bucket_marks(suffixes: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [none, none, pa.nulls(len(rows), pa.int64()), table.column("chunk").take(rows).combine_chunks(),
                  table.column("kind").take(rows).combine_chunks(), pa.array(marks[rows])],
-                ["suffix", "left", "doc", "chunk", "kind", "marks"])
+                ["suffix", "back", "doc", "chunk", "kind", "marks"])
 
-    return ranged.mapInArrow(run, "suffix binary, left binary, doc bigint, chunk bigint, kind bigint, marks bigint")
+    return ranged.mapInArrow(run, "suffix binary, back binary, doc bigint, chunk bigint, kind bigint, marks bigint")
 
 
-def boundary_marks(rows: DataFrame) -> DataFrame:
-    """(chunk, kind, marks): unmarked windows of ``rows`` (suffix, left, doc, chunk, kind, marks) that a row with a smaller id has too."""
-    body = F.concat("left", "suffix")
-    windows = rows.select("doc", "chunk", "kind", body.alias("body"), "marks", F.sequence(F.lit(0), F.octet_length(body) - WINDOW).alias("all"))
-    windows = windows.select("doc", "chunk", "kind", "body", F.explode(F.expr("filter(all, i -> getbit(marks, i) = 0)")).alias("at")).select(
-        "doc", "chunk", "kind", "at", F.expr(f"substring(body, at + 1, {WINDOW})").alias("window"))
+def edge_marks(rows: DataFrame, buckets: int) -> DataFrame:
+    """(window, doc, chunk, kind, marks): marks of ``bucket_marks`` rows by their left contexts, and with ``window`` those that stay open."""
+    ranged = rows.repartitionByRange(buckets, "back", "suffix", "doc", "chunk")
+
+    def common(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b))
+        return next((i for i in range(n) if a[i] != b[i]), n)
+
+    def run(batches):
+        table = _whole(batches)
+        if table is None:
+            return
+        suffix, back = table.column("suffix").to_pylist(), table.column("back").to_pylist()
+        doc, chunk, kind = (table.column(c).to_numpy() for c in ("doc", "chunk", "kind"))
+        low, high = min(back), max(back)
+        marks = later_windows(suffix, back, doc) | table.column("marks").to_numpy()
+        windows, at, bits = [], [], []
+        for row, (b, s) in enumerate(zip(back, suffix)):
+            for left in range(max(0, WINDOW - len(s)), max(common(b, low), common(b, high)) + 1):
+                bit = 1 << (len(b) - left)
+                if not marks[row] & bit:
+                    windows.append(b[:left][::-1] + s[:WINDOW - left])
+                    at.append(row)
+                    bits.append(bit)
+        names = ["window", "doc", "chunk", "kind", "marks"]
+        some = np.nonzero(marks)[0]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), *map(pa.array, (doc[some], chunk[some], kind[some], marks[some]))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), *map(pa.array, (doc[at], chunk[at], kind[at])), pa.array(bits, pa.int64())]
+                                         if at else [pa.array([], t) for t in (pa.binary(), *[pa.int64()] * 4)], names)
+
+    return ranged.mapInArrow(run, "window binary, doc bigint, chunk bigint, kind bigint, marks bigint")
+
+
+def boundary_marks(windows: DataFrame) -> DataFrame:
+    """(chunk, kind, marks): those rows of ``edge_marks`` whose window a row with a smaller id has too."""
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    bit = F.expr("shiftleft(cast(1 as bigint), at)")
-    return windows.join(least, "window").where("least < doc").select("chunk", "kind", bit.alias("marks"))
+    return windows.join(least, "window").where("least < doc").select("chunk", "kind", "marks")
 
 
 def cut_chunks(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -431,8 +468,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = written(bucket_marks(suffixes, max(least, suffixes.count() // BUCKET_SUFFIXES + 1)), "marks",
                       compression="zstd")
-    marks = sorted_.where("marks <> 0").select("chunk", "kind", "marks").unionByName(
-        boundary_marks(sorted_.where("suffix is not null")))
+    edges = sorted_.where("suffix is not null")
+    edges = written(edge_marks(edges, max(least, edges.count() // BUCKET_SUFFIXES + 1)), "edges")
+    marks = sorted_.where("suffix is null").select("chunk", "kind", "marks").unionByName(
+        edges.where("window is null").select("chunk", "kind", "marks")).unionByName(boundary_marks(edges.where("window is not null")))
     marks = marks.groupBy("chunk", "kind").agg(F.bit_or("marks").alias("marks")).groupBy("chunk").agg(
         F.collect_list(F.struct("kind", "marks")).alias("marks"))
     return cut_chunks(flagged.join(marks, "chunk", "left"), buckets)
