@@ -88,7 +88,8 @@ def _(t):
 
 @query("c09_alignment", """
 with t as (select doc_id as page_id, line_no as li, line as text from v_lines),
-a as (select page_id, li as probe, substring(text, 3, 6) as needle, 20 + (li % 4) * 9 as x, li * 24 + (li % 3) * 9 as y, 20 as h from t where li % 5 = 0 and length(text) >= 5),
+p as (select page_id, li as probe, substring(text, 3) as text, substring(text, 3, 6) as needle, 20 + (li % 4) * 9 as x, li * 24 + (li % 3) * 9 as y, 20 as h from t where length(text) >= 5),
+a as (select * from p where (select count(*) from p o where o.page_id = p.page_id and contains(o.text, p.needle)) <= 1),
 m as (select a.page_id, a.probe, h, l.li, 10 * (strpos(l.text, needle) - 1) + a.page_id % 3 - a.x as dx,
   l.li * 24 + case when l.li % 2 = 0 then 12 else 0 end - a.y as dy from a join t l on l.page_id = a.page_id and contains(l.text, needle)),
 b as (select page_id, probe, h, min_by(dx, (abs(dx) + abs(dy), li)) as dx, min_by(dy, (abs(dx) + abs(dy), li)) as dy from m group by all)
@@ -97,8 +98,8 @@ select page_id, probe, dx, dy::int as dy, abs(dx) <= 12 and abs(dy) <= greatest(
 def _(t):
     lines = t.v_lines.select(F.col("doc_id").alias("page_id"), F.col("line_no").alias("li"), F.col("line").alias("text"))
     li = F.col("li")
-    probes = lines.where("li % 5 = 0").select("page_id", li.alias("probe"), F.expr("substring(text, 3)").alias("text"),
-                                              (li % 4 * 9 + 20).alias("x"), (li * 24 + li % 3 * 9).alias("y"), F.lit(20).alias("h"))
+    probes = lines.select("page_id", li.alias("probe"), F.expr("substring(text, 3)").alias("text"),
+                          (li % 4 * 9 + 20).alias("x"), (li * 24 + li % 3 * 9).alias("y"), F.lit(20).alias("h"))
     return corpus.alignment(probes, lines, t.v_glyph, ["page_id"])
 
 

@@ -7,22 +7,24 @@ from glyphlake.functions.text import class_fraction
 from glyphlake.operators import pages, settings
 
 _VOWELS = "aeiouéèêàäöü"
-_PARTS = """o as (select a.snap, a.rect_id, b.rect_id as "by", a.x as ax, a.y as ay, greatest(a.x, b.x) as x0, least(a.x + a.w, b.x + b.w) as x1,
+PARTS = """o as (select a.snap, a.rect_id, b.rect_id as "by", a.x as ax, a.y as ay, greatest(a.x, b.x) as x0, least(a.x + a.w, b.x + b.w) as x1,
   greatest(a.y, b.y) as y0, least(a.y + a.h, b.y + b.h) as y1 from v_rect a join v_rect b on a.snap = b.snap and b.z < a.z
   where b.layer = 0 and b.alpha > 0.05 and least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 1 and least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > 1)"""
 
+DISPLAYS = [(0, 0, 800, 700), (900, 100, 800, 800)]
 
-@query("j09_occluders", f"with {_PARTS} select snap, rect_id, \"by\", (x0 - ax)::int as x, (y0 - ay)::int as y, (x1 - x0)::int as w, (y1 - y0)::int as h from o")
+
+@query("j09_occluders", f"with {PARTS} select snap, rect_id, \"by\", (x0 - ax)::int as x, (y0 - ay)::int as y, (x1 - x0)::int as w, (y1 - y0)::int as h from o")
 def _(t):
     return pages.occluders(t.v_rect, ["snap"], "rect_id", "z")
 
 
 @query("a12_visible_fraction", f"""
-with {_PARTS}, s as (select snap, rect_id, x + (i + 0.5::double) * w / 20 as px, y + (j + 0.5::double) * h / 20 as py from v_rect, range(20) a(i), range(20) b(j))
+with {PARTS}, s as (select snap, rect_id, x + (i + 0.5::double) * w / 20 as px, y + (j + 0.5::double) * h / 20 as py from v_rect, range(20) a(i), range(20) b(j))
 select snap, rect_id, count(*) filter (((px >= 0 and px < 800 and py >= 0 and py < 700) or (px >= 900 and px < 1700 and py >= 100 and py < 900))
   and not exists (select 1 from o where o.snap = s.snap and o.rect_id = s.rect_id and px >= x0 and px < x1 and py >= y0 and py < y1)) / 400 as visible from s group by 1, 2""")
 def _(t):
-    return pages.visible_fraction(t.v_rect, ["snap"], "rect_id", "z", [(0, 0, 800, 700), (900, 100, 800, 800)])
+    return pages.visible_fraction(t.v_rect, ["snap"], "rect_id", "z", DISPLAYS)
 
 
 def _lines(t):
@@ -225,10 +227,12 @@ def _(t):
 
 
 @query("w06_group_bands", """
-with b as (select *, max(y + h) over (partition by snap order by y, rect_id rows between unbounded preceding and 1 preceding) as was from v_rect),
-g as (select *, sum(coalesce(y >= was, true)::int) over (partition by snap order by y, rect_id) as grp from b),
-x as (select snap, grp::bigint as grp, count(*) as n, string_agg(rect_id::varchar, '' order by rect_id) as text from g group by 1, 2)
-select snap, grp, n, text, len(regexp_extract_all(text, '[02468]')) / length(text) >= 0.5 as keep from x""")
+with recursive o as (select snap, min({'y': y, 'id': rect_id, 'z': y + h}) as b from v_rect group by snap
+  union all select o.snap, min({'y': r.y, 'id': r.rect_id, 'z': r.y + r.h}) from o join v_rect r on r.snap = o.snap and r.y >= o.b.z group by o.snap),
+f as (select snap, b.y as y, b.id as id, lead(b.y) over (partition by snap order by b.y) as below, row_number() over (partition by snap order by b.y) as grp from o),
+x as (select f.snap, grp, count(*) as n, string_agg(rect_id::varchar, '' order by rect_id) as text from v_rect r join f on f.snap = r.snap
+  and (r.y > f.y or (r.y = f.y and rect_id >= id)) and (below is null or r.y < below or (r.y = below and rect_id < (select min(g.id) from f g where g.snap = f.snap and g.y = f.below))) group by 1, 2)
+select snap, grp, n, text, len(regexp_extract_all(text, '[02468]')) / length(text) >= 0.5 as keep from x""", recursive=True)
 def _(t):
     bands = t.v_rect.withColumn("text", F.col("rect_id").cast("string"))
     return pages.group_bands(bands, ["snap"], "rect_id", "text", class_fraction("text", "[02468]", "."), 0.5)

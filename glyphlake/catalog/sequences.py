@@ -109,10 +109,12 @@ def _(t):
 
 
 @query("j15_correlate", """
-select a.o_orderkey as k, a.asked, min(b.told) filter (b.told >= a.asked) as told from
-  (select distinct o_orderkey, (o_orderkey * 7) % 5 as asked from orders) a left join
-  (select distinct l_orderkey, l_linenumber::bigint as told from lineitem) b on a.o_orderkey = b.l_orderkey group by 1, 2""")
+with a as (select distinct o_orderkey as k, (o_orderkey * 7) % 5 as asked from orders),
+b as (select distinct l_orderkey as k, l_linenumber::bigint as told, (l_orderkey + l_linenumber) % 4 <> 0 as ok from lineitem),
+m as (select k, asked, min(told) filter (told >= asked) as told, min_by(ok, told) filter (told >= asked) as ok from a left join b using (k) group by k, asked)
+select k, asked, told, told - asked as latency from m where told is null or ok""")
 def _(t):
+    key = F.col("l_orderkey")
     asked = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7 % 5).alias("asked")).distinct()
-    told = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("bigint").alias("told")).distinct()
+    told = t.lineitem.select(key.alias("k"), F.col("l_linenumber").cast("bigint").alias("told"), ((key + F.col("l_linenumber")) % 4 != 0).alias("ok")).distinct()
     return sequence.correlate(asked, told, ["k"])

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from glyphlake.catalog.pages import DISPLAYS, PARTS
 from glyphlake.catalog.registry import query
-from glyphlake.operators import filters, reports
+from glyphlake.operators import filters, pages, reports
 
 
 @query("p03_sanitize", "select event_id, case when value between 10 and 50 then value else 25.0::double end as value from events")
@@ -91,9 +92,14 @@ def _(t):
     return reports.cer_report(t.v_cer)
 
 
-@query("a13_choose_front", "select snap, min_by(rect_id, z) as rect_id from v_rect where w > 200 and h > 200 and alpha >= 0.5 group by snap")
+@query("a13_choose_front", f"""
+with {PARTS}, s as (select snap, rect_id, z, x + (i + 0.5::double) * w / 20 as px, y + (j + 0.5::double) * h / 20 as py from v_rect, range(20) a(i), range(20) b(j) where w > 200 and h > 200),
+v as (select snap, rect_id, z, count(*) filter (((px >= 0 and px < 800 and py >= 0 and py < 700) or (px >= 900 and px < 1700 and py >= 100 and py < 900))
+  and not exists (select 1 from o where o.snap = s.snap and o.rect_id = s.rect_id and px >= x0 and px < x1 and py >= y0 and py < y1)) as n from s group by 1, 2, 3)
+select snap, min_by(rect_id, z) as rect_id from v where n >= 200 group by snap""")
 def _(t):
-    return reports.choose_front(t.v_rect, "snap")
+    visible = pages.visible_fraction(t.v_rect, ["snap"], "rect_id", "z", DISPLAYS)
+    return reports.choose_front(t.v_rect, visible, "snap")
 
 
 @query("a14_by_owner", """

@@ -152,6 +152,16 @@ class Tables:
                         F.when(noisy, "#").otherwise(F.col("ch")).alias("ch"),
                         (F.col("x") + F.col("pass")).alias("x"), "y", "w", "h")
 
+    @cached_property
+    def v_read(self):
+        """The three reads with characters left out, put in between, and lines that moved."""
+        ci, n = F.col("ci"), F.col("pass")
+        r = self.v_pass.where((n == 0) | ((F.col("page_id") + F.col("li") * 3 + ci * 5 + n * 7) % 13 != 0))
+        moved = r.select("page_id", "pass", "li", F.when((n == 1) & (ci > 4), ci + 1).otherwise(ci).alias("ci"), "ch", "x",
+                         F.when((n == 2) & (F.col("li") % 7 == 3), F.col("y") + 40).otherwise(F.col("y")).alias("y"), "w", "h")
+        return moved.unionByName(r.where((n == 1) & (ci == 4)).select(
+            "page_id", "pass", "li", F.lit(5).alias("ci"), F.lit("+").alias("ch"), (F.col("x") + 5).alias("x"), "y", "w", "h"))
+
     @cached_property
     def v_line_geom(self):
         return self.v_glyph.groupBy("page_id", "li").agg(
@@ -234,6 +244,10 @@ VIEWS = {
     "v_pass": "select g.page_id, p.pass::int as pass, g.li, g.ci, case when (g.page_id + g.li*7 + g.ci*3 + p.pass*5) % 11 = 0 "
               "then '#' else g.ch end as ch, g.x + p.pass as x, g.y, g.w, g.h from v_glyph g "
               "cross join (select range as pass from range(3)) p",
+    "v_read": "with r as (select * from v_pass where pass = 0 or (page_id + li*3 + ci*5 + pass*7) % 13 <> 0) "
+              "select page_id, pass, li, case when pass = 1 and ci > 4 then ci + 1 else ci end as ci, ch, x, "
+              "case when pass = 2 and li % 7 = 3 then y + 40 else y end as y, w, h from r union all "
+              "select page_id, pass, li, 5, '+', x + 5, y, w, h from r where pass = 1 and ci = 4",
     "v_line_geom": "select page_id, li, count(*) as n, min(x) as x0, max(x+w) as x1, min(y) as y0, max(y+h) as y1, "
                    "max(h) as hh from v_glyph group by page_id, li",
     "v_rect": "select o_custkey as snap, o_orderkey as rect_id, o_orderkey as z, "

@@ -85,11 +85,15 @@ def lossless(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def alignment(probes: DataFrame, lines: DataFrame, glyphs: DataFrame, page: list[str], size: int = 6) -> DataFrame:
     """(page, probe, dx, dy, aligned, gross): how far the nearest reading of a probe's first characters is from it.
 
-    ``probes`` has (page, probe, text, x, y, h), ``lines`` (page, li, text), ``glyphs`` (page, li, ci, x, y). A line
-    counts by the first place of the needle in it. Needles are met among the windows of all lines by equality.
+    Only probes of three characters or more count whose needle (the first ``size`` characters, or all) stands in no
+    other probe of their page. ``probes`` has (page, probe, text, x, y, h), ``lines`` (page, li, text), ``glyphs``
+    (page, li, ci, x, y). A line counts by the first place of the needle in it. Needles are met among the windows of
+    all lines by equality.
     """
-    asked = probes.where(F.length("text") >= 3).select(
-        *page, "probe", F.left("text", F.lit(size)).alias("needle"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("h").alias("_h"))
+    asked = probes.where(F.length("text") >= 3)
+    alone = reports.unique_probes(asked.select(*page, "probe", "text"), "probe", "text", size, page)
+    asked = asked.join(alone, [*page, "probe"]).select(
+        *page, "probe", "needle", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("h").alias("_h"))
     chars = F.filter(F.split("text", ""), lambda c: c != "")
     places = lines.select(*page, "li", chars.alias("_c")).select(*page, "li", "_c", F.explode(
         F.sequence(F.lit(3), F.lit(size))).alias("_k")).where(F.size("_c") >= F.col("_k"))

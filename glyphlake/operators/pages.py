@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.operators.geometry import drop_covered
+from glyphlake.chains import chain
 from glyphlake.ordered import Ordered
 from glyphlake.spatial import cell_join, overlap_join
 
@@ -251,15 +252,21 @@ def ruby_bands(bands: DataFrame, keys: Names) -> DataFrame:
 
 
 def group_bands(bands: DataFrame, keys: Names, order: str, text: str, kana: Column, least: float = 0.7) -> DataFrame:
-    """(keys, grp, n, text, keep): bands that share rows, by chains, and whether their text reads as ruby.
+    """(keys, grp, n, text, keep): bands that share rows with the first of their group, and whether their text reads as ruby.
 
-    ``kana`` is the share of kana in the column ``text``.
+    From the top, a band opens a group unless it shares rows with the band that opened the last one; that it
+    shares rows with other members does not count. ``kana`` is the share of kana in the column ``text``.
     """
-    rows = (Ordered(bands.withColumn("_bottom", F.col("y") + F.col("h")), keys, ["y", order]).scan(run={"_top": ("max", "_bottom")})
-            .scan(lag={"_was": "_top"}).with_columns({"_new": F.coalesce((F.col("y") >= F.col("_was")).cast("int"), F.lit(1))})
-            .scan(run={"grp": ("sum", "_new")}).df)
-    found = rows.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("n"), F.expr(
-        f"listagg({text}, '') within group (order by {order})").alias(text))
+    rows = Ordered(bands, keys, ["y", order]).scan(number="_n").df
+    # The next group opens at the first band that begins at or below the bottom: behind as many as begin above it.
+    tops = rows.select(*keys, F.col("y").alias("_at"), F.lit(1).alias("_one"), "_n")
+    ends = rows.select(*keys, (F.col("y") + F.col("h")).alias("_at"), F.lit(0).alias("_one"), "_n")
+    above = Ordered(tops.unionByName(ends), keys, ["_at", "_one", "_n"]).scan(run={"_above": ("sum", "_one")}).df.where("_one = 0")
+    pointers = above.select(*keys, "_n", (F.greatest("_above", "_n") + 1).alias("_next"))
+    opened = chain(pointers, keys, "_n", "_next").withColumn("_new", F.lit(1))
+    marked = rows.join(opened, [*keys, "_n"], "left").fillna(0, ["_new"])
+    found = Ordered(marked, keys, ["_n"]).scan(run={"grp": ("sum", "_new")}).df.groupBy(*keys, "grp").agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"listagg({text}, '') within group (order by {order})").alias(text))
     return found.withColumn("keep", (F.coalesce(F.length(text), F.lit(0)) == 0) | (kana >= least))
 
 

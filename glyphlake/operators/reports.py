@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions.text import edit_distance, strip_edges
+from glyphlake.ordered import Ordered
 
 
 def classify_archives(members: DataFrame, archive: str, tag: str, place: str) -> DataFrame:
@@ -55,19 +58,19 @@ def agreement_report(pairs: DataFrame, bucket: Column, a: str = "truth", b: str
         F.avg(bare.cast("double")).alias("equal_bare"))
 
 
-def unique_probes(probes: DataFrame, probe_id: str, text: str, n: int = 6) -> DataFrame:
-    """Probes whose needle (the first ``n`` characters, or all) stands in at most one probe's text.
+def unique_probes(probes: DataFrame, probe_id: str, text: str, n: int = 6, within: Sequence[str] = ()) -> DataFrame:
+    """(within, probe, needle): probes whose needle (the first ``n`` characters, or all) stands in at most one probe's text.
 
-    Needles of one length are looked up among the windows of that length of all
-    texts, so the work is linear in their length; a shorter text's needle has its own length.
+    Probes are compared with those of equal ``within``. Needles of one length are looked up among the windows of that
+    length of all texts, so the work is linear in their length; a shorter text's needle has its own length.
     """
-    rows = probes.select(F.col(probe_id).alias("id"), F.col(text).alias("t"), F.left(F.col(text), F.lit(n)).alias("needle"))
+    rows = probes.select(*within, F.col(probe_id).alias("id"), F.col(text).alias("t"), F.left(F.col(text), F.lit(n)).alias("needle"))
     sizes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.least(k, F.length("t"))))
     spans = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(
         F.sequence(F.lit(1), F.length("t") - k + 1), lambda i: F.col("t").substr(i, k)))))
-    held = rows.where(F.length("t") > 0).select(F.explode(spans).alias("needle")).join(
-        rows.select("needle").distinct(), "needle", "left_semi").groupBy("needle").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(held, "needle", "left").where(F.coalesce("n", F.lit(0)) <= 1).select(F.col("id").alias(probe_id), "needle")
+    held = rows.where(F.length("t") > 0).select(*within, F.explode(spans).alias("needle")).join(
+        rows.select(*within, "needle").distinct(), [*within, "needle"], "left_semi").groupBy(*within, "needle").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(held, [*within, "needle"], "left").where(F.coalesce("n", F.lit(0)) <= 1).select(*within, F.col("id").alias(probe_id), "needle")
 
 
 def corpus_totals(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,10 +78,14 @@ def corpus_totals(docs: DataFrame, text: str = "text") -> DataFrame:
                     F.sum(F.length(text)).alias("characters"))
 
 
-def choose_front(rects: DataFrame, key: str) -> DataFrame:
-    """The front-most rectangle larger than 200 by 200 and at least half visible, per key."""
-    ok = rects.where((F.col("w") > 200) & (F.col("h") > 200) & (F.col("alpha") >= 0.5))
-    return ok.groupBy(key).agg(F.min_by("rect_id", "z").alias("rect_id"))
+def choose_front(rects: DataFrame, visible: DataFrame, key: str) -> DataFrame:
+    """(key, rect_id): the front-most rectangle larger than 200 by 200 of which at least half can be seen.
+
+    ``visible`` has (key, rect_id, visible), as ``pages.visible_fraction`` gives it. Keys without one have no row.
+    """
+    large = rects.where((F.col("w") > 200) & (F.col("h") > 200)).select(key, "rect_id", "z")
+    seen = visible.where(F.col("visible") >= 0.5).select(key, "rect_id")
+    return large.join(seen, [key, "rect_id"]).groupBy(key).agg(F.min_by("rect_id", "z").alias("rect_id"))
 
 
 def by_owner(windows: DataFrame, owner: str) -> DataFrame:
@@ -89,8 +96,26 @@ def by_owner(windows: DataFrame, owner: str) -> DataFrame:
         F.max_by("rect_id", F.struct((F.col("w") * F.col("h")).alias("a"), (-F.col("rect_id")).alias("b"))).alias("largest"))
 
 
-def latency(deltas: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return deltas.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5)").alias("p50"), F.expr(f"percentile({value}, 0.95)").alias("p95"))
+def latency(deltas: DataFrame, keys: list[str], value: str, shares: tuple[tuple[str, float], ...] = (("p50", 0.5), ("p95", 0.95))) -> DataFrame:
+    """(keys, p50, p95): exact percentiles, interpolated between the two nearest ranks. Nulls do not count.
+
+    Rows are numbered over ranges of (keys, value) and only those at the wanted ranks are kept, so a key of any size
+    needs no buffer of its values.
+    """
+    rows = deltas.where(F.col(value).isNotNull()).select(*keys, value)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    at = sizes.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(share)).alias("at"))
+                                                 for name, share in shares])).alias("_p")).select(*keys, "_p.name", "_p.at")
+    wanted = at.select(*keys, "name", (F.col("at") - F.floor("at")).alias("_part"), F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), (F.floor("at") + 1).alias("i")), F.struct(F.lit(1).alias("side"), (F.ceil("at") + 1).alias("i")))).alias("_r"))
+    ranked = Ordered(rows, keys, [value]).scan(number="_i").df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_i", F.col(value).cast("double").alias("_v"))
+    same = F.col("_i") == F.col("_r.i")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    found = wanted.join(ranked, same).groupBy(*keys, "name").agg(
+        F.max(F.when(F.col("_r.side") == 0, F.col("_v"))).alias("low"), F.max(F.when(F.col("_r.side") == 1, F.col("_v"))).alias("high"), F.max("_part").alias("part"))
+    mixed = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, mixed)).alias(name) for name, _ in shares])
 
 
 def missing_reports(crops: DataFrame, truth: DataFrame, key: str, label: str) -> DataFrame:

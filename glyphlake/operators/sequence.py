@@ -107,9 +107,13 @@ def as_of(left: DataFrame, right: DataFrame, keys: Names, at: str, value: str) -
 
 
 def correlate(requests: DataFrame, replies: DataFrame, keys: Names) -> DataFrame:
-    """Each request with the first reply of its keys that is not older; requests without one stay.
+    """(keys, asked, told, latency): each request with the first reply of its keys that is not older.
 
-    ``requests`` has (keys, asked), ``replies`` (keys, told).
+    A request that was first answered by a failure has no row; one without any reply stays open, with nulls.
+    ``requests`` has (keys, asked), ``replies`` (keys, told, ok). Of replies of one time a good one counts first.
     """
     met = requests.join(replies, list(keys), "left")
-    return met.groupBy(*keys, "asked").agg(F.min(F.when(F.col("told") >= F.col("asked"), F.col("told"))).alias("told"))
+    due = F.col("told") >= F.col("asked")
+    first = F.min(F.when(due, F.struct("told", (~F.coalesce("ok", F.lit(False))).alias("failed")))).alias("_r")
+    found = met.groupBy(*keys, "asked").agg(first).where(~F.coalesce(F.col("_r.failed"), F.lit(False)))
+    return found.select(*keys, "asked", F.col("_r.told").alias("told"), (F.col("_r.told") - F.col("asked")).alias("latency"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.operators.geometry import drop_covered, hit_test
 from glyphlake.operators.sequence import as_of, changes_only
+from glyphlake.streaming.steps import Batch, Steps
 
 
 def stream_sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
@@ -16,13 +17,41 @@ def stream_sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -
     return found.select(key, "start", "end", "n")
 
 
-def correlate(requests: DataFrame, replies: DataFrame, key: str, ts: str, within: str, late: str) -> DataFrame:
-    """Requests with the replies of their key that follow within ``within``; state of older ones is dropped."""
-    asked = requests.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts).alias("asked"), *[
-        c for c in requests.columns if c not in (key, ts)])
-    told = replies.withWatermark(ts, late).select(F.col(key).alias("_key"), F.col(ts).alias("told"))
-    return asked.join(told, F.expr(
-        f"key = _key and told >= asked and told <= asked + interval {within}")).drop("_key")
+def correlate(messages: DataFrame, key: str, within: int) -> Steps:
+    """(key, asked, told, latency, expired): each request with its first reply, or told to have expired.
+
+    ``messages`` has (key: the request's id, us, kind: ``request`` or ``reply``, ok). A reply ends its request; if it
+    failed, without a row. Replies to no open request are dropped, as are those more than ``within`` microseconds
+    late; their request expires once the latest time seen passes that span. State: when an open request was made.
+    """
+    def fold(memory, row):
+        asked = memory["asked"]
+        if row["kind"] == "request":
+            return {"asked": row["us"] if asked is None else asked}, None
+        if asked is None:
+            return None, None
+        late = row["us"] - asked
+        if late > within:
+            return None, {"asked": asked, "expired": True}
+        return None, {"asked": asked, "told": row["us"], "latency": late, "expired": False} if row["ok"] else None
+
+    def plan(rows: DataFrame, batch: Batch) -> DataFrame:
+        events = rows.select(key, "us", (F.col("kind") == "reply").cast("int").alias("later"), "kind", "ok")
+        last = batch.before("clock", "us bigint")
+        before = last.agg(F.max("us")).first()[0]
+        now = batch.keep("clock", rows.select("us").unionByName(last).agg(F.max("us").alias("us"))).first()[0]
+        was = batch.states("open", rows.schema[key], "asked bigint")
+        if before is not None:  # those told to have expired are forgotten
+            was = was.where(F.col("state.asked") + within >= before)
+        found = batch.step("open", events, key, ["us", "later"], fold, {"asked": None},
+                           "asked bigint, told bigint, latency bigint, expired boolean", "asked bigint", was)
+        if now is None:
+            return found
+        over = batch.after().states("open", rows.schema[key], "asked bigint").where(F.col("state.asked") + within < now)
+        return found.unionByName(over.select(key, F.col("state.asked").alias("asked"), F.lit(None).cast("bigint").alias("told"),
+                                             F.lit(None).cast("bigint").alias("latency"), F.lit(True).alias("expired")))
+
+    return Steps(messages, plan)
 
 
 def enrich_triggers(events: DataFrame, layers: DataFrame, boxes: DataFrame, covers: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,8 +67,41 @@ def enrich_triggers(events: DataFrame, layers: DataFrame, boxes: DataFrame, cove
     return changes_only(events.join(met.select("event_id", "box"), "event_id"), keys, ["us", "event_id"], "box")
 
 
-def run_through(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def trigger_stream(events: DataFrame, boxes: DataFrame, covers: DataFrame, key: str) -> Steps:
+    """The rows of ``enrich_triggers``, of one stream that carries both what is shown and what is pointed at.
+
+    ``events`` has (key, us, event_id, px, py, page): a row with a page is the layer that the key sees from then on,
+    any other points at (px, py). A layer counts for events of the same time. State: the page, and apart from it the
+    box that was told last.
+    """
+    def show(memory, row):
+        if row["page"] is not None:
+            return {"page": row["page"]}, None
+        return memory, None if memory["page"] is None else {c: row[c] for c in ("us", "event_id", "px", "py")} | memory
+
+    def point(memory, row):
+        if row["box"] == memory["box"]:
+            return memory, None
+        return {"box": row["box"]}, {"event_id": row["event_id"], "box": row["box"]}
+
+    def plan(rows: DataFrame, batch: Batch) -> DataFrame:
+        kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+        mixed = rows.select(key, "us", F.col("page").isNull().cast("int").alias("side"), "event_id", "px", "py", "page")
+        seen = batch.step("layer", mixed, key, ["us", "side", "event_id"], show, {"page": None},
+                          f"us bigint, event_id bigint, px {kinds['px']}, py {kinds['py']}, page {kinds['page']}", f"page {kinds['page']}")
+        open_ = drop_covered(seen, covers.select("page", "x", "y", "w", "h"), ["page"], "event_id")
+        met = hit_test(open_, boxes.select("page", "box", "x", "y", "w", "h"), ["page"], "event_id", "box")
+        kind = met.schema["box"].dataType.simpleString()
+        hits = seen.select(key, "us", "event_id").join(met.select("event_id", "box"), "event_id").select(key, "us", "event_id", "box")
+        return batch.step("target", hits, key, ["us", "event_id"], point, {"box": None}, f"event_id bigint, box {kind}", f"box {kind}")
+
+    return Steps(events, plan)
+
+
+def run_through(stream: DataFrame | Steps, path: str, checkpoint: str) -> DataFrame:
     """Everything a stream emits for what is there now, as a table."""
+    if isinstance(stream, Steps):
+        return stream.run(path, checkpoint)
     query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()

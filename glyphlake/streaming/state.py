@@ -1,68 +1,48 @@
-"""Operators over event streams that remember something per key.
-
-Events of a key are taken in order within a micro-batch, whose size the source's options bound
-(``maxFilesPerTrigger``, ``maxBytesPerTrigger``); between batches only the few values named in each
-operator's state stay.
-"""
+"""Operators over event streams that remember something per key, as ``Steps``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
 
-def _stateful(events: DataFrame, key: str, order: list[str], step: Callable, start: tuple, out: str, state: str) -> DataFrame:
-    """``step(memory, row) -> (memory, kept)`` over the events of each key; kept rows go on as (key, *kept)."""
-    columns = [c for c in events.columns if c != key]
+from glyphlake.streaming.steps import Batch, Steps
 
-    def run(group: tuple, batches: Iterator[pd.DataFrame], kept: GroupState):
-        rows = pd.concat(list(batches)).sort_values(order)
-        memory, found = (kept.get if kept.exists else start), []
-        for row in rows[columns].itertuples(index=False, name="Event"):
-            memory, one = step(memory, row)
-            if one is not None:
-                found.append((*group, *one))
-        kept.update(memory)
-        yield pd.DataFrame(found, columns=names)
 
-    kind = events.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, {out}"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return events.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def throttle(events: DataFrame, key: str, least: int) -> DataFrame:
+def throttle(events: DataFrame, key: str, least: int) -> Steps:
     """(key, event_id, us): events at least ``least`` microseconds after the last one that was kept.
 
     ``events`` has (key, us, event_id). State: the time of the last kept event.
     """
-    def step(memory, row):
-        if memory[0] is None or row.us - memory[0] >= least:
-            return (int(row.us),), (row.event_id, row.us)
+    def fold(memory, row):
+        if memory["last"] is None or row["us"] - memory["last"] >= least:
+            return {"last": row["us"]}, row
         return memory, None
 
-    return _stateful(events.select(key, "us", "event_id"), key, ["us", "event_id"], step, (None,),
-                     "event_id bigint, us bigint", "last bigint")
+    def plan(rows: DataFrame, batch: Batch) -> DataFrame:
+        return batch.step("throttle", rows.select(key, "event_id", "us"), key, ["us", "event_id"], fold, {"last": None},
+                          "event_id bigint, us bigint", "last bigint")
+
+    return Steps(events, plan)
 
 
-def classify_passes(passes: DataFrame, key: str) -> DataFrame:
+def classify_passes(passes: DataFrame, key: str) -> Steps:
     """(key, event_id, kind): ``idle`` without content, ``payload`` for content that differs from what was last
     sent, else ``heartbeat``. ``passes`` has (key, us, event_id, content). State: a hash of what was last sent.
     """
-    def step(memory, row):
-        if row.content is None:
-            return memory, (row.event_id, "idle")
-        return (row.content,), (row.event_id, "heartbeat" if row.content == memory[0] else "payload")
+    def fold(memory, row):
+        if row["content"] is None:
+            return memory, {"event_id": row["event_id"], "kind": "idle"}
+        kind = "heartbeat" if row["content"] == memory["sent"] else "payload"
+        return {"sent": row["content"]}, {"event_id": row["event_id"], "kind": kind}
 
-    hashed = passes.select(key, "us", "event_id", F.sha1("content").alias("content"))
-    return _stateful(hashed, key, ["us", "event_id"], step, (None,), "event_id bigint, kind string", "sent string")
+    def plan(rows: DataFrame, batch: Batch) -> DataFrame:
+        hashed = rows.select(key, "us", "event_id", F.sha1("content").alias("content"))
+        return batch.step("passes", hashed, key, ["us", "event_id"], fold, {"sent": None}, "event_id bigint, kind string", "sent string")
 
+    return Steps(passes, plan)
 
-def page_turns(passes: DataFrame, key: str, turn: float = 0.5) -> DataFrame:
+
+def page_turns(passes: DataFrame, key: str, turn: float = 0.5) -> Steps:
     """(key, event_id): pages that confirm a turn: unlike the adopted page, but like the page before, which was unlike too.
 
     ``passes`` has (key, us, event_id, lines); two pages are alike when at least ``turn`` of the lines of the larger are shared.
@@ -71,22 +51,22 @@ def page_turns(passes: DataFrame, key: str, turn: float = 0.5) -> DataFrame:
     def shared(a, b):
         return len(set(a) & set(b)) / max(len(set(a)), len(set(b)), 1)
 
-    def step(memory, row):
-        adopted, waiting = memory
-        lines = list(row.lines) if row.lines is not None else []
-        if adopted is None:
-            return (lines, None), None
-        if shared(lines, adopted) >= turn:
-            return (lines, None), None
+    def fold(memory, row):
+        adopted, waiting, lines = memory["adopted"], memory["waiting"], row["lines"] or []
+        if adopted is None or shared(lines, adopted) >= turn:
+            return {"adopted": lines, "waiting": None}, None
         if waiting is not None and shared(lines, waiting) >= turn:
-            return (lines, None), (row.event_id,)
-        return (adopted, lines), None
+            return {"adopted": lines, "waiting": None}, {"event_id": row["event_id"]}
+        return {"adopted": adopted, "waiting": lines}, None
+
+    def plan(rows: DataFrame, batch: Batch) -> DataFrame:
+        return batch.step("turns", rows.select(key, "us", "event_id", "lines"), key, ["us", "event_id"], fold,
+                          {"adopted": None, "waiting": None}, "event_id bigint", "adopted array<string>, waiting array<string>")
 
-    return _stateful(passes.select(key, "us", "event_id", "lines"), key, ["us", "event_id"], step, (None, None),
-                     "event_id bigint", "adopted array<string>, waiting array<string>")
+    return Steps(passes, plan)
 
 
-def rebuild_gate(passes: DataFrame, key: str, alike: float = 0.85, streak: int = 2, jitter: float = 3) -> DataFrame:
+def rebuild_gate(passes: DataFrame, key: str, alike: float = 0.85, streak: int = 2, jitter: float = 3) -> Steps:
     """(key, event_id, verdict): what a reader's layer does with the next pass of its page.
 
     ``identical`` lines stay; voted passes (``vote`` >= 2) with as many glyphs in each line are ``patched``;
@@ -97,50 +77,72 @@ def rebuild_gate(passes: DataFrame, key: str, alike: float = 0.85, streak: int =
     ``passes`` has (key, us, event_id, lines, xs, ys, frame, vote): texts of the lines and places of their first
     glyphs. State: the adopted lines with their places and frame, and the length of the streak.
     """
-    def step(memory, row):
-        lines, xs, ys, frame, kept = memory
-        now = [] if row.lines is None else list(row.lines)
-        page = (now, [] if row.xs is None else [float(v) for v in row.xs], [] if row.ys is None else [float(v) for v in row.ys], row.frame)
+    def fold(memory, row):
+        now = row["lines"] or []
+        page = {"lines": now, "xs": row["xs"] or [], "ys": row["ys"] or [], "frame": row["frame"], "streak": 0}
+
+        def tell(verdict, memory):
+            return memory, {"event_id": row["event_id"], "verdict": verdict}
+
+        lines = memory["lines"]
         if not lines:
-            return (*page, 0), (row.event_id, "rebuilt")
-        at = dict(zip(lines, zip(xs, ys)))
-        shift = max((max(abs(x - at[t][0]), abs(y - at[t][1])) for t, x, y in zip(*page[:3]) if t in at), default=0)
-        if frame == row.frame and shift <= jitter:
-            if now == list(lines):
-                return (lines, xs, ys, frame, 0), (row.event_id, "identical")
-            if row.vote is not None and row.vote >= 2 and now and [len(t) for t in now] == [len(t) for t in lines]:
-                return (*page, 0), (row.event_id, "patched")
+            return tell("rebuilt", page)
+        at = dict(zip(lines, zip(memory["xs"], memory["ys"])))
+        shift = max((max(abs(x - at[t][0]), abs(y - at[t][1])) for t, x, y in zip(now, page["xs"], page["ys"]) if t in at), default=0)
+        if memory["frame"] == row["frame"] and shift <= jitter:
+            if now == lines:
+                return tell("identical", memory | {"streak": 0})
+            if row["vote"] is not None and row["vote"] >= 2 and now and [len(t) for t in now] == [len(t) for t in lines]:
+                return tell("patched", page)
             before = set(lines)
-            close = sum(t in before for t in now) / max(len(now), len(before))
-            if close > alike and kept < streak:
-                return (lines, xs, ys, frame, kept + 1), (row.event_id, "kept")
-        return (*page, 0), (row.event_id, "rebuilt")
+            if sum(t in before for t in now) / max(len(now), len(before)) > alike and memory["streak"] < streak:
+                return tell("kept", memory | {"streak": memory["streak"] + 1})
+        return tell("rebuilt", page)
+
+    def plan(rows: DataFrame, batch: Batch) -> DataFrame:
+        wanted = rows.select(key, "us", "event_id", "lines", F.col("xs").cast("array<double>"), F.col("ys").cast("array<double>"), "frame", "vote")
+        return batch.step("gate", wanted, key, ["us", "event_id"], fold, {"lines": [], "xs": [], "ys": [], "frame": None, "streak": 0},
+                          "event_id bigint, verdict string",
+                          "lines array<string>, xs array<double>, ys array<double>, frame string, streak int")
 
-    rows = passes.select(key, "us", "event_id", "lines", "xs", "ys", "frame", "vote")
-    return _stateful(rows, key, ["us", "event_id"], step, ([], [], [], None, 0), "event_id bigint, verdict string",
-                     "lines array<string>, xs array<double>, ys array<double>, frame string, streak int")
+    return Steps(passes, plan)
 
 
-def stall_alerts(events: DataFrame, key: str, ts: str, silence: int, late: str) -> DataFrame:
+def stall_alerts(events: DataFrame, key: str, ts: str, silence: int, late: int) -> Steps:
     """(key, us): one alert per silence of at least ``silence`` microseconds, with the time of the event before it.
 
-    The last silence of a key is told once the watermark passes it. State: the time of the last event.
+    The last silence of a key is told once the clock passes it: the latest time of all keys, in whole milliseconds,
+    less ``late`` microseconds. Events before the clock of an earlier batch are dropped. State: the time of the last event.
     """
-    rows = events.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("us"))
-
-    def run(group, batches, kept):
-        if kept.hasTimedOut:
-            yield pd.DataFrame([(*group, kept.get[0])], columns=[key, "us"])
-            kept.remove()
-            return
-        times = sorted(int(u) for batch in batches for u in batch["us"])
-        if kept.exists:
-            times.insert(0, kept.get[0])
-        kept.update((max(times),))
-        # Times are kept in whole milliseconds by the timer, which must lie ahead of the watermark.
-        kept.setTimeoutTimestamp(max((max(times) + silence) // 1000, kept.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*group, a) for a, b in zip(times, times[1:]) if b - a >= silence], columns=[key, "us"])
-
-    kind = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    def clock(states: DataFrame) -> int | None:
+        top = states.agg(F.max("state.last")).first()[0]
+        return None if top is None else top // 1000 * 1000 - late
+
+    def plan(rows: DataFrame, batch: Batch) -> DataFrame:
+        field = rows.schema[key]
+        was = batch.states("stalls", field, "last bigint")
+        before = clock(was)
+
+        def told(last):
+            return before is not None and last + silence <= before
+
+        def fold(memory, row):
+            last, us = memory["last"], row["us"]
+            if before is not None and us < before:
+                return memory, None
+            over = last is not None and us - last >= silence and not told(last)
+            return {"last": us}, {"us": last} if over else None
+
+        timed = rows.select(key, F.unix_micros(ts).alias("us"))
+        found = batch.step("stalls", timed, key, ["us"], fold, {"last": None}, "us bigint", "last bigint")
+        now = batch.after().states("stalls", field, "last bigint")
+        after = clock(now)
+        if after is None:
+            return found
+        silent = now.select(key, F.col("state.last").alias("us")).where(F.col("us") + silence <= after)
+        if before is not None:
+            old = was.select(F.col(key).alias("_key"), F.col("state.last").alias("_us")).where(F.col("_us") + silence <= before)
+            silent = silent.join(old, F.col(key).eqNullSafe(F.col("_key")) & (F.col("us") == F.col("_us")), "left_anti")
+        return found.unionByName(silent)
+
+    return Steps(events, plan)

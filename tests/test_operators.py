@@ -5,12 +5,11 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.operators import corpus, pages, settings
-from glyphlake.session import scratch_path
+from glyphlake.chains import chain
+from glyphlake.functions.text import class_fraction
+from glyphlake.operators import anchors, corpus, pages, reports, settings, votes
 from glyphlake.sources import html, messages, records
 from glyphlake.spatial import overlap_join
-from glyphlake.streaming import events as stream
-from glyphlake.streaming import state
 
 
 def test_match_glyphs(spark):
@@ -100,35 +99,85 @@ def test_gate(spark):
         settings.assert_min(totals, n=6).collect()
 
 
-def _streamed(spark, batches, schema, op):
-    """``op`` over one file a micro-batch, in order."""
-    path = scratch_path(spark, "batches")
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return stream.run_through(op(source), scratch_path(spark, "out"), scratch_path(spark, "state")).collect()
-
-
-def test_throttle_over_batches(spark):
-    got = _streamed(spark, [[(1, 0, 1), (1, 300, 2)], [(1, 399, 3), (1, 400, 4), (2, 5, 5)], [(1, 900, 6)]],
-                    "k int, us bigint, event_id bigint", lambda s: state.throttle(s, "k", 400))
-    assert sorted(r.event_id for r in got) == [1, 4, 5, 6]
-
-
-def test_page_turns(spark):
-    a, b, c = ["1", "2", "3"], ["4", "5", "6"], ["7", "8", "9"]
-    seen = [a, a, b, a, b, b, c, b, c, c]
-    rows = [(1, i, i, page) for i, page in enumerate(seen)]
-    got = _streamed(spark, [rows[:3], rows[3:]], "k int, us bigint, event_id bigint, lines array<string>", lambda s: state.page_turns(s, "k"))
-    assert sorted(r.event_id for r in got) == [5, 9]
-
-
-def test_rebuild_gate(spark):
-    base = [f"line {i}" for i in range(10)]
-    near, voted, other = [*base[:9], "other line"], [*base[:9], "line X"], ["new"]
-    seen = [(base, 0, 1), (base, 0, 1), (near, 0, 1), (near, 0, 1), (near, 0, 1), (base, 9, 1), (voted, 9, 2), (other, 9, 1), ([], 9, 1)]
-    rows = [(1, i, i, p, [0.0] * len(p), [float(y)] * len(p), "f", v) for i, (p, y, v) in enumerate(seen)]
-    got = _streamed(spark, [rows[:4], rows[4:]], "k int, us bigint, event_id bigint, lines array<string>, xs array<double>, ys array<double>, "
-                    "frame string, vote int", lambda s: state.rebuild_gate(s, "k"))
-    verdicts = [r.verdict for r in sorted(got, key=lambda r: r.event_id)]
-    assert verdicts == ["rebuilt", "identical", "kept", "kept", "rebuilt", "rebuilt", "patched", "rebuilt", "rebuilt"]
+def test_repair():
+    cells = [(0.0, float(y), 20.0, float(y + 20)) for y in range(0, 120, 24)]
+    assert anchors.repair(cells, 5, 20) == cells
+    halves = [*cells[:1], (0.0, 24.0, 20.0, 34.0), (0.0, 34.0, 20.0, 44.0), *cells[2:]]
+    assert anchors.repair(halves, 5, 20) == cells
+    assert anchors.repair(halves, 4, 20) is None  # a second merge would join two glyphs
+    long = [*cells[:1], (0.0, 24.0, 20.0, 68.0), *cells[3:]]
+    assert anchors.repair(long, 5, 20) == [*cells[:1], (0.0, 24.0, 20.0, 46.0), (0.0, 46.0, 20.0, 68.0), *cells[3:]]
+    assert anchors.repair(cells, 6, 20) is None  # the tallest is one glyph
+    assert anchors.repair([(0.0, 0.0, 20.0, 200.0)], 5, 20) is None  # three halvings give four
+    assert anchors.repair([], 1, 20) is None
+
+
+def test_reanchor(spark):
+    """Two lines share a column; one column is repaired, one keeps its boxes, one line is outside."""
+    cells = [(0, 0, 100, y, 20, 20) for y in range(0, 120, 24)]
+    cells += [(0, 1, 50, 0, 20, 20), (0, 1, 50, 24, 20, 9), (0, 1, 50, 34, 20, 10), (0, 1, 50, 48, 20, 20)]
+    cells += [(0, 2, 0, 0, 20, 20), (0, 2, 0, 24, 20, 20)]
+    glyphs = [(0, 0, i, 105, 50 + i * 24, 10, 20) for i in range(3)] + [(0, 1, i, 106, 3 + i * 24, 10, 20) for i in range(2)]
+    glyphs += [(0, 2, i, 54, 2 + i * 24, 10, 20) for i in range(3)] + [(0, 3, i, 4, i * 24, 10, 20) for i in range(4)]
+    glyphs += [(0, 4, 0, 300, 0, 10, 20), (1, 0, 0, 105, 0, 10, 20)]
+    rows = anchors.reanchor(spark.createDataFrame(glyphs, "p int, li int, ci int, x int, y int, w int, h int"),
+                            spark.createDataFrame(cells, "p int, col int, x int, y int, w int, h int"), ["p"]).collect()
+    got = {(r.p, r.li, r.ci): (r.anchored, r.x, r.y, r.w, r.h) for r in rows}
+    assert len(got) == len(glyphs)
+    assert [got[0, 1, i] for i in range(2)] + [got[0, 0, i] for i in range(3)] == [("index", 100.0, y, 20.0, 20.0) for y in range(0, 120, 24)]
+    assert [got[0, 2, i] for i in range(3)] == [("repair", 50.0, 0.0, 20.0, 20.0), ("repair", 50.0, 24.0, 20.0, 20.0), ("repair", 50.0, 48.0, 20.0, 20.0)]
+    for p, li, ci, x, y, w, h in glyphs:
+        if (p, li) in ((0, 3), (0, 4), (1, 0)):
+            assert got[p, li, ci] == ("kept", x, y, w, h)
+
+
+def test_vote(spark):
+    """By place, not by index: an inserted glyph shifts nothing, a tie keeps the base, what is far does not count."""
+    def line(p, text, dx=0, y=0, li=0):
+        return [(1, p, li, i, c, 10.0 * i + dx, float(y), 10.0, 10.0) for i, c in enumerate(text) if c != " "]
+
+    reads = line(0, "日木語の本") + line(1, "日本語の本", 2) + line(2, "日本語の本", -2)
+    reads += line(0, "今日", li=1, y=40) + line(1, "今目", li=1, y=40) + line(2, "会日", li=1, y=40)
+    reads += line(0, "犬", li=2, y=80) + line(1, "太", li=2, y=87) + line(2, "太", li=2, y=86)
+    reads += line(0, "上", li=3, y=120) + line(2, "下 ", 60, li=3, y=120) + line(1, "余", 90, li=9, y=200)
+    reads = [r for r in reads if r[:4] != (1, 1, 0, 3)] + [(1, 1, 0, 9, "x", 15.0, 0.0, 10.0, 10.0)]
+    cols = "page int, pass int, li int, ci int, ch string, x double, y double, w double, h double"
+    rows = votes.vote(spark.createDataFrame(reads, cols), ["page"]).collect()
+    got = {(r.li, r.ci): (r.ch, r.votes, r.passes) for r in rows}
+    assert "".join(got[0, i][0] for i in range(5)) == "日本語の本"
+    assert got[0, 1] == ("本", 2, 3) and got[0, 3] == ("の", 2, 3)
+    assert got[1, 0] == ("今", 2, 3) and got[1, 1] == ("日", 2, 3)
+    assert got[2, 0] == ("犬", 1, 3) and got[3, 0] == ("上", 1, 3)
+    assert set(got) == {(0, i) for i in range(5)} | {(1, 0), (1, 1), (2, 0), (3, 0)}
+    tie = line(0, "ab") + line(1, "xb") + line(2, "yb") + line(3, "xb") + line(4, "yb")
+    rows = votes.voted_lines(votes.vote(spark.createDataFrame(tie, cols), ["page"]), ["page"]).collect()
+    assert [(r.text, r.votes, r.conf) for r in rows] == [("xb", 7, 0.7)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_chain(spark, block):
+    rows, want = [], set()
+    for key, n in (("a", 1), ("b", 40), ("c", 25), ("d", 7)):
+        to = {i: i + 1 + (i * 7 + len(key)) % (n if key == "d" else 5) for i in range(1, n + 1)}
+        rows += [(key, i, t) for i, t in to.items()]
+        at = 1
+        while at in to:
+            want.add((key, at))
+            at = to[at]
+    got = chain(spark.createDataFrame(rows, "k string, n int, t int").repartition(3), ["k"], "n", "t", block).collect()
+    assert len(got) == len(want) and {(r.k, r.n) for r in got} == want
+
+
+def test_groups_of_the_first_band(spark):
+    """A and B share rows, B and C do, A and C do not: C opens a group."""
+    bands = [(1, 0, 0, 10, "か"), (1, 1, 5, 10, "な"), (1, 2, 12, 10, "漢字"), (1, 3, 13, 2, "か"), (1, 4, 40, 0, ""), (1, 5, 40, 5, "")]
+    df = spark.createDataFrame(bands, "k int, id int, y int, h int, text string")
+    rows = pages.group_bands(df, ["k"], "id", "text", class_fraction("text", "[ぁ-ん]", "."), 0.7).collect()
+    assert sorted((r.grp, r.n, r.text, r.keep) for r in rows) == [(1, 2, "かな", True), (2, 2, "漢字か", False), (3, 1, "", True), (4, 1, "", True)]
+
+
+def test_latency(spark):
+    rows = [("a", v) for v in [5, 1, 9, 9, 2, 100, None]] + [("b", 7), ("c", None)] + [(None, 1), (None, 2)]
+    got = {r.k: (r.p50, r.p95) for r in reports.latency(spark.createDataFrame(rows, "k string, v int"), ["k"], "v").collect()}
+    assert got["a"][0] == 7.0 and got["a"][1] == pytest.approx(9 + 91 * 0.75)
+    assert got["b"] == (7.0, 7.0) and got[None] == (1.5, 1.95) and "c" not in got
