@@ -154,7 +154,17 @@ def _(t):
     return pages.cell_metrics(t.v_points, t.v_rect, ["snap"], "pt_id")
 
 
-@query("j20_match_glyphs")
+_MATCHED = """a as (select page_id, ch, li, ci, x, y, greatest(12, w * 0.7, h * 0.7) as tol from v_pass where pass = 0),
+b as (select page_id, ch, x, y from v_pass where pass = 2),
+m as (select a.page_id, li, ci, abs(b.x - a.x) + abs(b.y - a.y) as away, abs(b.x - a.x) <= tol and abs(b.y - a.y) <= tol as ok
+  from a join b using (page_id, ch) where abs(b.x - a.x) <= tol * 2 and abs(b.y - a.y) <= tol * 2),
+p as (select page_id, li, ci, min_by(ok, (away, not ok)) as placed from m group by all),
+g as (select a.page_id, a.li, a.ci, r.ch is not null as matched, coalesce(placed, false) as placed from a
+  left join (select distinct page_id, ch from b) r on r.page_id = a.page_id and r.ch = a.ch left join p on p.page_id = a.page_id and p.li = a.li and p.ci = a.ci)"""
+
+
+@query("j20_match_glyphs", f"""
+with {_MATCHED} select page_id, li, count(*) as n, count(*) filter (matched) as matched, count(*) filter (placed) as placed from g group by page_id, li""")
 def _(t):
     found = pages.match_glyphs(*_two_reads(t), ["page_id"], "ch", ["li", "ci"])
     return found.groupBy("page_id", "li").agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.count_if("placed").alias("placed"))
@@ -164,7 +174,9 @@ def _two_reads(t):
     return t.v_pass.where("pass = 0"), t.v_pass.where("pass = 2")
 
 
-@query("a18_placement_report")
+@query("a18_placement_report", f"""
+with {_MATCHED} select page_id, count(*) as n, avg(matched::int::double) as coverage, avg(placed::int::double) as placement,
+  count(*) filter (matched) >= 8 and count(*) filter (placed) >= count(*) filter (matched) * 0.7 as ok from g group by page_id""")
 def _(t):
     return pages.placement_report(pages.match_glyphs(*_two_reads(t), ["page_id"], "ch", ["li", "ci"]), ["page_id"])
 

@@ -117,6 +117,15 @@ def _(t):
     return reports.agreement_report(t.v_cer, F.when(F.length("truth") < 40, "short").otherwise("long"))
 
 
+@query("a19_agreement_histogram", r"""
+with p as (select case when length(truth) < 40 then 'short' else 'long' end as bucket, truth, hyp,
+  regexp_replace(regexp_replace(truth, '^\pP+', ''), '\pP+$', '') as a, regexp_replace(regexp_replace(hyp, '^\pP+', ''), '\pP+$', '') as b from v_cer),
+d as (select bucket, levenshtein(truth, hyp) as distance, 1 as n, 0 as bare from p union all select bucket, levenshtein(a, b), 0, 1 from p)
+select bucket, distance::int as distance, sum(n)::bigint as n, sum(bare)::bigint as n_bare from d group by bucket, distance""")
+def _(t):
+    return reports.agreement_histogram(t.v_cer, F.when(F.length("truth") < 40, "short").otherwise("long"))
+
+
 @query("a20_latency", """
 with d as (select event_type, us - lag(us) over (partition by user_id order by us, event_id) as d from v_events)
 select event_type, quantile_cont(d, 0.5)::double as p50, quantile_cont(d, 0.95)::double as p95 from d where d is not null group by event_type""")
@@ -141,10 +150,11 @@ def _(t):
 
 
 @query("j22_missing_reports", """
-select doc_id, 'no truth' as reason from documents where doc_id not in (select doc_id from labels)
-union all select doc_id, 'empty truth' from documents where doc_id in (select doc_id from labels where coalesce(quality, 0) = 0)""")
+with l as (select doc_id, coalesce(quality, 0) = 0 as empty from labels)
+select doc_id, case when empty is null then 'no truth' when empty then 'empty truth' else 'no hypothesis' end as reason
+from documents left join l using (doc_id) where empty is null or empty or length(text) <= 1500""")
 def _(t):
-    return reports.missing_reports(t.documents, t.labels, "doc_id", "quality")
+    return reports.missing_reports(t.documents, t.labels, t.documents.where(F.length("text") > 1500), "doc_id", F.coalesce("quality", F.lit(0)) == 0)
 
 
 @query("k10_sample_per_category", """

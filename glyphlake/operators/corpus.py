@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import fixed, folds, text
@@ -11,13 +13,14 @@ from glyphlake.sources import html, records
 
 
 def pack_passages(texts: DataFrame, key: str, sentences, targets: tuple[int, ...] = fixed.PASSAGE_TARGETS,
-                  min_tail: int = fixed.PASSAGE_MIN_TAIL) -> DataFrame:
+                  min_tail: int = fixed.PASSAGE_MIN_TAIL, length: Callable[[Column], Column] = F.length) -> DataFrame:
     """(key, passage, n, text): sentences of a text put together until they reach the next target in turn.
 
-    ``sentences`` is the text's array of sentences. A tail shorter than ``min_tail`` is left out.
+    ``sentences`` is the text's array of sentences, ``length`` says how long one is. A tail shorter than ``min_tail``
+    is left out.
     """
     rows = texts.select(key, sentences.alias("_s")).withColumn(
-        "_p", folds.pack(F.transform("_s", F.length), targets, min_tail))
+        "_p", folds.pack(F.transform("_s", length), targets, min_tail))
     rows = rows.select(key, F.posexplode(F.arrays_zip("_s", "_p")).alias("_i", "_z"))
     return rows.where("_z._p >= 0").groupBy(key, F.col("_z._p").alias("passage")).agg(
         F.count(F.lit(1)).alias("n"), F.expr("listagg(_z._s, '') within group (order by _i)").alias("text"))
@@ -61,10 +64,29 @@ def evaluate(pairs: DataFrame, least: int) -> DataFrame:
     return report.withColumn("n", F.coalesce(floor, F.col("n")))
 
 
-def second_opinion(asked: DataFrame, told: DataFrame, key: str, bucket: Column) -> DataFrame:
-    """Agreement of a second reading (key, hyp) with the first (key, truth), in compatible forms."""
-    pairs = asked.join(told, key).withColumns({c: text.nfkc(c) for c in ("truth", "hyp")})
-    return reports.agreement_report(pairs, bucket)
+def evaluate_sample(crops: DataFrame, truth: DataFrame, hyps: DataFrame, n: int, seed: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """The error report of a sample of ``n`` crops of each category, and (name, reason) of those that could not be judged.
+
+    ``crops`` has (category, name), ``truth`` (name, truth), ``hyps`` (name, hyp). What is missing does not count as an error.
+    """
+    drawn = reports.sample_per_category(crops.select("category", "name"), "category", "name", n, seed)
+    judged = truth.select("name", "truth", text.normalize_eval("truth").alias("_t"))
+    lacking = reports.missing_reports(drawn, judged, hyps, "name", F.coalesce(F.length("_t"), F.lit(0)) == 0)
+    pairs = drawn.join(lacking.select("name"), "name", "left_anti").join(judged.drop("_t"), "name").join(hyps.select("name", "hyp"), "name")
+    return evaluate(pairs, least), lacking
+
+
+def second_opinion(asked: DataFrame, told: DataFrame, key: str, bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """Agreement, as report and as histogram, of the second reading of each request with the first, in compatible forms.
+
+    ``asked`` has (key, asked, truth, ..), ``told`` (key, told, ok, hyp). A request counts by its first reply that is
+    not older; failed ones and those without a reply do not.
+    """
+    met = sequence.correlate(asked.select(key, "asked"), told, [key]).where("told is not null")
+    answer = told.where("ok").groupBy(key, "told").agg(F.min("hyp").alias("hyp"))
+    pairs = asked.join(met.select(key, "asked", "told"), [key, "asked"]).join(answer, [key, "told"]).withColumns(
+        {c: text.nfkc(c) for c in ("truth", "hyp")})
+    return reports.agreement_report(pairs, bucket), reports.agreement_histogram(pairs, bucket)
 
 
 def lossless(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -116,13 +138,60 @@ def build_tables(banks: DataFrame, payload: str, label: Column, place: str) -> t
     return terms, glosses, reports.index_stats(terms)
 
 
+#: Around a word with a reading in running text: before it, before and behind its reading. HTML texts have no control characters.
+_WORD, _READING, _END = "\u0001", "\u0002", "\u0003"
+
+
+def _marked(segments: Column) -> Column:
+    word = lambda s: F.concat(F.lit(_WORD), s["text"], F.lit(_READING), s["ruby"], F.lit(_END))
+    return F.array_join(F.transform(segments, lambda s: F.when(s["ruby"].isNull(), s["text"]).otherwise(word(s))), "")
+
+
+def _bare(marked: Column) -> Column:
+    return F.regexp_replace(marked, f"{_READING}[^{_END}]*{_END}|{_WORD}", "")
+
+
+def _parts(marked: Column) -> Column:
+    """Array of (text, ruby) of marked text."""
+    found = [F.regexp_extract_all(marked, F.lit(f"{_WORD}([^{_READING}]*){_READING}([^{_END}]*){_END}|([^{_WORD}]+)"), F.lit(i)) for i in (1, 2, 3)]
+    return F.zip_with(found[2], F.arrays_zip(found[0].alias("w"), found[1].alias("r")), lambda plain, word: F.struct(
+        F.concat(word["w"], plain).alias("text"), F.nullif(word["r"], F.lit("")).alias("ruby")))
+
+
 def truth_corpus(pages: DataFrame, key: str, page: str, script: str, ends: str, continues: str, variants: int, per: int, k: int) -> DataFrame:
-    """(key, passage, repeat, variant, body): the passages of HTML pages, set in lines of ``k`` cells, in ``per`` renderings.
+    """(key, passage, repeat, variant, body, ruby): the passages of HTML pages, set in lines of ``k`` cells, in ``per`` renderings.
 
-    Only paragraphs with at least ten characters of ``script`` count; passages run on over their borders.
+    Only paragraphs with at least ten characters of ``script`` count; passages run on over their borders. ``ruby`` lists
+    the readings of a passage in order; they are not in the body and do not count for its length.
     """
-    paras = html.html_paragraphs(pages, key, page).select(key, "para_no", html.plain_text("segments").alias("t"))
-    paras = paras.where(filters.has_script(F.col("t"), script)).withColumn("s", text.sentences("t", ends, continues))
+    paras = html.html_paragraphs(pages, key, page).select(key, "para_no", _marked(F.col("segments")).alias("t"))
+    cut = F.split(F.regexp_replace("t", f"([{ends}])(?![{continues}{_READING}])(?![^{_WORD}{_READING}]*[{_READING}{_END}])", "$1\u0000"), "\u0000")
+    paras = paras.where(filters.has_script(_bare(F.col("t")), script)).withColumn("s", F.filter(cut, lambda s: s != ""))
     whole = paras.groupBy(key).agg(F.flatten(F.sort_array(F.collect_list(F.struct("para_no", "s"))).getField("s")).alias("s"))
-    rows = sequence.assign_variants(pack_passages(whole, key, F.col("s")), "passage", variants, per)
-    return rows.select(key, "passage", "repeat", "variant", F.array_join(text.wrap_units("text", k), "\n").alias("body"))
+    passages = pack_passages(whole, key, F.col("s"), length=lambda s: F.length(_bare(s)))
+    rows = sequence.assign_variants(passages, "passage", variants, per).withColumn("_u", wrap_groups(_parts(F.col("text")), k))
+    lines = F.transform(F.sequence(F.lit(0), F.array_max(F.col("_u.line"))), lambda i: F.array_join(
+        F.transform(F.filter("_u", lambda u: u["line"] == i), lambda u: u["text"]), ""))
+    ruby = F.regexp_extract_all("text", F.lit(f"{_READING}([^{_END}]*){_END}"), F.lit(1))
+    return rows.select(key, "passage", "repeat", "variant", F.array_join(lines, "\n").alias("body"), ruby.alias("ruby"))
+
+
+def write_truth(rows: DataFrame, key: str, path: str) -> None:
+    """The rows of ``truth_corpus`` as text files, one folder a variant: a note, the body's lines, and a ``#ruby:`` line a reading.
+
+    The note tells key, passage, repeat and the number of body lines. A blank line ends a passage; bodies have none.
+    """
+    note = F.concat_ws(" ", F.lit("#"), key, "passage", "repeat", F.size(F.split("body", "\n")))
+    lines = F.concat(F.array(note, F.col("body")), F.transform("ruby", lambda r: F.concat(F.lit("#ruby:"), r)))
+    rows.select("variant", F.array_join(lines, "\n").alias("value")).write.partitionBy("variant").option("lineSep", "\n\n").text(path)
+
+
+def read_truth(spark: SparkSession, key: str, kind: str, path: str) -> DataFrame:
+    """What ``write_truth`` wrote; ``kind`` is the key's type."""
+    lines = F.split("value", "\n")
+    note = F.split(lines[0], " ")
+    n = note[4].cast("int")
+    return spark.read.option("lineSep", "\n\n").text(path).select(
+        note[1].cast(kind).alias(key), note[2].cast("int").alias("passage"), note[3].cast("int").alias("repeat"), F.col("variant").cast("int").alias("variant"),
+        F.array_join(F.slice(lines, 2, n), "\n").alias("body"),
+        F.transform(F.slice(lines, n + 2, F.size(lines)), lambda r: F.substr(r, F.lit(7))).alias("ruby"))

@@ -58,6 +58,15 @@ def agreement_report(pairs: DataFrame, bucket: Column, a: str = "truth", b: str
         F.avg(bare.cast("double")).alias("equal_bare"))
 
 
+def agreement_histogram(pairs: DataFrame, bucket: Column, a: str = "truth", b: str = "hyp") -> DataFrame:
+    """(bucket, distance, n, n_bare): how many pairs are so far apart, as they are and without edge punctuation."""
+    rows = pairs.select(bucket.alias("bucket"), F.array(
+        F.struct(edit_distance(a, b).alias("d"), F.lit(1).alias("n"), F.lit(0).alias("bare")),
+        F.struct(edit_distance(strip_edges(a), strip_edges(b)).alias("d"), F.lit(0).alias("n"), F.lit(1).alias("bare"))).alias("_d"))
+    return rows.select("bucket", F.explode("_d").alias("_d")).groupBy("bucket", F.col("_d.d").alias("distance")).agg(
+        F.sum("_d.n").alias("n"), F.sum("_d.bare").alias("n_bare"))
+
+
 def unique_probes(probes: DataFrame, probe_id: str, text: str, n: int = 6, within: Sequence[str] = ()) -> DataFrame:
     """(within, probe, needle): probes whose needle (the first ``n`` characters, or all) stands in at most one probe's text.
 
@@ -118,11 +127,13 @@ def latency(deltas: DataFrame, keys: list[str], value: str, shares: tuple[tuple[
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, mixed)).alias(name) for name, _ in shares])
 
 
-def missing_reports(crops: DataFrame, truth: DataFrame, key: str, label: str) -> DataFrame:
-    """(key, reason): rows without a partner, and rows whose partner is empty."""
-    none = crops.select(key).join(truth.select(key), key, "left_anti").withColumn("reason", F.lit("no truth"))
-    empty = crops.select(key).join(truth.where(F.col(label).isNull() | (F.col(label) == 0)).select(key), key, "left_semi")
-    return none.unionByName(empty.withColumn("reason", F.lit("empty truth")))
+def missing_reports(crops: DataFrame, truth: DataFrame, hyps: DataFrame, key: str, empty: Column) -> DataFrame:
+    """(key, reason): rows without a truth, with an empty one (``empty``, over ``truth``), or with a truth but no hypothesis."""
+    keys = crops.select(key)
+    told = truth.select(key, F.coalesce(empty, F.lit(True)).alias("_empty")).groupBy(key).agg(F.bool_or("_empty").alias("_empty"))
+    rows = keys.join(told, key, "left").join(hyps.select(key).distinct().withColumn("_read", F.lit(True)), key, "left")
+    reason = F.when(F.col("_empty").isNull(), "no truth").when(F.col("_empty"), "empty truth").when(F.col("_read").isNull(), "no hypothesis")
+    return rows.select(key, reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def sample_per_category(df: DataFrame, category: str, key: str, n: int, seed: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphlake.chains import chain
 from glyphlake.functions.text import class_fraction
 from glyphlake.operators import anchors, corpus, pages, reports, settings, votes
+from glyphlake.session import scratch_path
 from glyphlake.sources import html, messages, records
 from glyphlake.spatial import overlap_join
 
@@ -79,6 +80,37 @@ def test_truth_corpus(spark):
     assert all(len(line) <= 20 for b in bodies.values() for line in b.split("\n"))
 
 
+def test_truth_files(spark):
+    """Readings stay with their words: whole on a line, outside the body, and back from the files."""
+    ruby = "<ruby>漢字<rt>かん。じ</rt></ruby>"
+    page = f"<p>{'日本語の文章' * 3}の{ruby}です。{ruby}だ！</p><p>{'これは二つ目の文' * 4}です。「{ruby}」。</p><p>{'#ruby:' + 'かな' * 30}。</p>"
+    rows = corpus.truth_corpus(spark.createDataFrame([(7, page), (8, None), (9, "<p>短い</p>")], "id int, h string"), "id", "h",
+                               "ぁ-んァ-ヶ一-龠", "。！？", "」。！？", 8, 3, 20)
+    path = scratch_path(spark, "truth")
+    corpus.write_truth(rows, "id", path)
+    back = corpus.read_truth(spark, "id", "int", path)
+    assert back.columns == rows.columns and sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    first = {r.passage: r for r in back.where("repeat = 0").collect()}
+    assert sum(len(r.ruby) for r in first.values()) == 3 and {x for r in first.values() for x in r.ruby} == {"かん。じ"}
+    text = "".join(first[p].body.replace("\n", "") for p in sorted(first))
+    assert text == "日本語の文章" * 3 + "の漢字です。漢字だ！" + "これは二つ目の文" * 4 + "です。「漢字」。" + "#ruby:" + "かな" * 30 + "。"
+    assert first[0].body.split("\n")[0] == "日本語の文章" * 3 + "の" and all(len(x) <= 20 for r in first.values() for x in r.body.split("\n"))
+
+
+def test_sample_and_what_it_lacks(spark):
+    names = [(c, f"{c}{i}") for c in "ab" for i in range(6)]
+    truth = [(n, "" if i % 5 == 4 else "abcd") for i, (_, n) in enumerate(names) if i % 5 != 3]
+    hyps = [(n, "abcx") for i, (_, n) in enumerate(names) if i % 5 != 1]
+    df = spark.createDataFrame
+    report, lacking = corpus.evaluate_sample(df(names, "category string, name string"), df(truth, "name string, truth string"),
+                                             df(hyps, "name string, hyp string"), 6, "s", 1)
+    reasons = {3: "no truth", 4: "empty truth", 1: "no hypothesis"}
+    assert {r.name: r.reason for r in lacking.collect()} == {n: reasons[i % 5] for i, (_, n) in enumerate(names) if i % 5 in reasons}
+    assert {r.category: (r.n, r.dist, r.micro) for r in report.collect()} == {"ALL": (5, 5, 0.25), "a": (3, 3, 0.25), "b": (2, 2, 0.25)}
+    assert corpus.evaluate_sample(df(names, "category string, name string"), df(truth, "name string, truth string"),
+                                  df(hyps, "name string, hyp string"), 2, "s", 1)[0].where("category = 'ALL'").first().n <= 4
+
+
 def test_records_of_odd_archives(spark):
     bank = '[["食べる","たべる","","",5,["eat"]],["x"],"no",null,["","","","",null,null],["か","か","","",null,"g"]]'
     rows = spark.createDataFrame([(bank,), ("{}",), (None,), ("broken [",)], "payload string")
