@@ -16,11 +16,11 @@ stands to their left. The windows of one anchor are one extent, at most
    bucket sorts its suffixes, and their left contexts read backwards, by multikey
    quicksort. Neighbours with a common prefix that is long enough share windows; the
    least id of each window decides which rows come later.
-4. Rows whose gram is the bucket's first or last may have partners beyond the boundary.
-   They are range-partitioned once more, by their left contexts read backwards, and compared
-   in those buckets. What is left are windows that no row of their bucket precedes and whose
-   left context is that of the bucket's first or last row: they are compared across all
-   buckets by grouping, so a string of a hot passage is sent about once a bucket.
+4. A window that no row of the bucket precedes may have partners beyond the boundary, if the
+   bucket's first or last suffix begins like it from the anchor on. Rows with such windows
+   are range-partitioned once more, by their left contexts read backwards, and compared in
+   those buckets. Windows that stay open there too are compared across all buckets by
+   grouping, so a string of a hot passage is sent about once a bucket.
 5. The marks go back to the chunks, which cut the marked windows out.
 
 Texts are compared byte by byte, or by MD5 as a whole; other hashes only choose what is compared.
@@ -327,8 +327,20 @@ def _whole(batches) -> pa.Table | None:
     return pa.Table.from_batches(held) if held else None
 
 
+def prefix_lengths(strings: list[bytes], other: bytes) -> np.ndarray:
+    """Length of the common prefix of each string with ``other``."""
+    sizes = np.array([len(s) for s in strings])
+    wide = int(sizes.max(initial=1))
+    table = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in strings), np.uint8).reshape(len(strings), wide)
+    differs = table != np.frombuffer(other[:wide].ljust(wide, b"\0"), np.uint8)
+    return np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), wide), np.minimum(sizes, len(other)))
+
+
 def bucket_marks(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """(suffix, back, doc, chunk, kind, marks) of range buckets; without suffix where the bucket alone decides."""
+    """(suffix, back, doc, chunk, kind, marks, open) of range buckets; without suffix where the bucket alone decides.
+
+    ``open`` has a bit for each unmarked window that other buckets may have too.
+    """
     ranged = suffixes.repartitionByRange(buckets, "suffix", "back", "doc", "chunk")
 
     def run(batches):
@@ -336,53 +348,53 @@ def bucket_marks(suffixes: DataFrame, buckets: int) -> DataFrame:
         if table is None:
             return
         suffix, back = table.column("suffix").to_pylist(), table.column("back").to_pylist()
-        low, high = min(suffix)[:GRAM], max(suffix)[:GRAM]
         marks = later_windows(suffix, back, table.column("doc").to_numpy())
-        size = np.array([len(a) + len(b) - WINDOW + 1 for a, b in zip(back, suffix)])
-        open_ = marks != (np.int64(1) << size) - 1
-        edge = np.array([low == s[:GRAM] or high == s[:GRAM] for s in suffix]) & open_
-        for rows in np.array_split(np.nonzero(edge)[0], edge.sum() // 10_000 + 1):
-            yield from table.take(pa.array(rows)).append_column("marks", pa.array(marks[rows])).combine_chunks().to_batches()
-        inner = np.nonzero(~edge & (marks != 0))[0]
+        near = np.maximum(prefix_lengths(suffix, min(suffix)), prefix_lengths(suffix, max(suffix)))
+        # Bits of the windows that reach no further to the right of the anchor than ``near``.
+        reach = np.array([len(b) for b in back]) - np.maximum(WINDOW - near, 0) + 1
+        open_ = ((np.int64(1) << np.maximum(reach, 0)) - 1) & ~marks
+        for rows in np.array_split(np.nonzero(open_)[0], np.count_nonzero(open_) // 10_000 + 1):
+            part = table.take(pa.array(rows)).append_column("marks", pa.array(marks[rows])).append_column("open", pa.array(open_[rows]))
+            yield from part.combine_chunks().to_batches()
+        inner = np.nonzero((open_ == 0) & (marks != 0))[0]
         for rows in np.array_split(inner, len(inner) // 100_000 + 1):
             none = pa.nulls(len(rows), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [none, none, pa.nulls(len(rows), pa.int64()), table.column("chunk").take(rows).combine_chunks(),
-                 table.column("kind").take(rows).combine_chunks(), pa.array(marks[rows])],
-                ["suffix", "back", "doc", "chunk", "kind", "marks"])
+                 table.column("kind").take(rows).combine_chunks(), pa.array(marks[rows]), pa.nulls(len(rows), pa.int64())],
+                ["suffix", "back", "doc", "chunk", "kind", "marks", "open"])
 
-    return ranged.mapInArrow(run, "suffix binary, back binary, doc bigint, chunk bigint, kind bigint, marks bigint")
+    return ranged.mapInArrow(run, "suffix binary, back binary, doc bigint, chunk bigint, kind bigint, marks bigint, open bigint")
 
 
 def edge_marks(rows: DataFrame, buckets: int) -> DataFrame:
     """(window, doc, chunk, kind, marks): marks of ``bucket_marks`` rows by their left contexts, and with ``window`` those that stay open."""
     ranged = rows.repartitionByRange(buckets, "back", "suffix", "doc", "chunk")
 
-    def common(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b))
-        return next((i for i in range(n) if a[i] != b[i]), n)
-
     def run(batches):
         table = _whole(batches)
         if table is None:
             return
         suffix, back = table.column("suffix").to_pylist(), table.column("back").to_pylist()
-        doc, chunk, kind = (table.column(c).to_numpy() for c in ("doc", "chunk", "kind"))
-        low, high = min(back), max(back)
-        marks = later_windows(suffix, back, doc) | table.column("marks").to_numpy()
+        doc, chunk, kind, old, open_ = (table.column(c).to_numpy() for c in ("doc", "chunk", "kind", "marks", "open"))
+        marks = later_windows(suffix, back, doc) | old
+        near = np.maximum(prefix_lengths(back, min(back)), prefix_lengths(back, max(back)))
+        open_ = open_ & ~marks
         windows, at, bits = [], [], []
-        for row, (b, s) in enumerate(zip(back, suffix)):
-            for left in range(max(0, WINDOW - len(s)), max(common(b, low), common(b, high)) + 1):
+        for row in np.nonzero(open_)[0].tolist():
+            b, s = back[row], suffix[row]
+            for left in range(max(0, WINDOW - len(s)), int(near[row]) + 1):
                 bit = 1 << (len(b) - left)
-                if not marks[row] & bit:
+                if int(open_[row]) & bit:
                     windows.append(b[:left][::-1] + s[:WINDOW - left])
                     at.append(row)
                     bits.append(bit)
         names = ["window", "doc", "chunk", "kind", "marks"]
         some = np.nonzero(marks)[0]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), *map(pa.array, (doc[some], chunk[some], kind[some], marks[some]))], names)
-        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), *map(pa.array, (doc[at], chunk[at], kind[at])), pa.array(bits, pa.int64())]
-                                         if at else [pa.array([], t) for t in (pa.binary(), *[pa.int64()] * 4)], names)
+        if at:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(windows, pa.binary()), *map(pa.array, (doc[at], chunk[at], kind[at])), pa.array(bits, pa.int64())], names)
 
     return ranged.mapInArrow(run, "window binary, doc bigint, chunk bigint, kind bigint, marks bigint")
 
