@@ -51,8 +51,15 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, each divided by a power of two that brings its largest component near one.
+
+    Cosines stay as they are to the last bit, and no square overflows or vanishes.
+    """
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+    if not len(flat):
+        return np.zeros((0, 0))
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=1.0 if not x.shape[1] else 0.0))[1][:, None])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

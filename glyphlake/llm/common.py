@@ -37,6 +37,14 @@ def literal_list(values) -> str:
     return f"cast(array({quoted}) as array<string>)"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has. Spark tells names apart without their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

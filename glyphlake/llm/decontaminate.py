@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import ascii_lower, words
+from glyphlake.llm.common import ascii_lower, free_name, words
 
 WINDOW = 10
 #: Hashes that are sent along with the plan at most. A larger benchmark skips the
@@ -93,10 +93,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     """The rows of ``docs`` whose text has no leak, with all their columns.
 
     A row is known by its id and the MD5 of its text, so rows that share an id, or
-    have none, are judged each by their own text.
+    have none, are judged each by their own text. Null and empty texts have no leak; an empty table stays empty.
     """
-    key = F.md5(F.coalesce(F.col(text), F.lit("")))
-    named = docs.withColumn("_own", F.struct(F.col(doc_id).alias("id"), key.alias("key")))
-    leaks = find_leaks(named, benchmark, window, "_own", text, item_id, item_text)
-    bad = leaks.where("contaminated").select(F.col("doc_id.id").alias("_leaky"), F.col("doc_id.key").alias("_leaky_key")).distinct()
-    return named.join(bad, F.col(doc_id).eqNullSafe(F.col("_leaky")) & (F.col("_own.key") == F.col("_leaky_key")), "left_anti").drop("_own")
+    own, id_, key = (free_name(docs, n) for n in ("own", "leaky_id", "leaky_key"))
+    named = docs.withColumn(own, F.struct(F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key")))
+    leaks = find_leaks(named, benchmark, window, own, text, item_id, item_text)
+    bad = leaks.where("contaminated").select(F.col("doc_id.id").alias(id_), F.col("doc_id.key").alias(key)).distinct()
+    return named.join(bad, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(own).getField("key") == F.col(key)), "left_anti").drop(own)

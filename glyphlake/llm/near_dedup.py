@@ -14,7 +14,9 @@
    by these weights or by counts alone. The second is for large families, whose
    common text is so frequent that its weight no longer binds them.
 5. Texts that verified pairs connect are one class, found by alternating star
-   contraction over tables in the shared folder.
+   contraction over tables in the shared folder. Buckets that still hold several
+   classes draw a new text, which meets those of other classes, until a round joins
+   nothing; every round is linear in the size of those buckets.
 6. Where a bucket still holds several classes, its texts meet once more by an exact
    join: two similar texts share one of the rarest shingles of both (prefix
    filter), and what stands behind it must be enough on both sides (positional
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import WORD, written
+from glyphlake.llm.common import WORD, free_name, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,6 +43,8 @@ ROWS, BANDS = 3, 12
 DAMPING = 8
 #: Counters of document frequency; a power of two.
 COUNTERS = 1 << 18
+#: Most rounds in which buckets of several classes draw another text, before the exact join.
+ROUNDS = 8
 #: Bits of the filter that keeps vectors of texts without a candidate at home; a power of two.
 FILTER_BITS = 1 << 23
 CHUNK = 1 << 15
@@ -267,13 +271,28 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def _open_texts(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, root): the texts of buckets of three or more texts that hold more than one class."""
-    members = texts.join(roots, "key", "left").select(
-        "key", F.coalesce("root", "key").alias("root"), F.posexplode("bands").alias("band", "value"))
+def _open_members(members: DataFrame) -> DataFrame:
+    """Those rows (key, root, band, value) whose bucket has three or more texts and more than one class."""
     mixed = members.groupBy("band", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 and least <> most")
-    return members.join(mixed.select("band", "value"), ["band", "value"], "left_semi").select("key", "root").distinct()
+    return members.join(mixed.select("band", "value"), ["band", "value"], "left_semi").select("key", "root", "band", "value")
+
+
+def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b, root_a, root_b): the rows (key, root, band, value) with one text drawn for their bucket, if that is of another class."""
+    hub = F.min_by(F.struct("key", "root"), F.xxhash64("key", "band", F.lit(turn)))
+    hubs = members.groupBy("band", "value").agg(hub.alias("hub"))
+    met = members.join(hubs, ["band", "value"]).where("root <> hub.root")
+    turned = F.col("key") > F.col("hub.key")
+    return met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"),
+                      F.when(turned, F.col("hub.root")).otherwise(F.col("root")).alias("root_a"),
+                      F.when(turned, F.col("root")).otherwise(F.col("hub.root")).alias("root_b")).distinct()
+
+
+def _tops(links: DataFrame) -> DataFrame:
+    """(root, top): classes joined by ``links`` (root_a, root_b)."""
+    merged = components(links.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")))
+    return merged.select(F.col("key").alias("root"), F.col("root").alias("top"))
 
 
 def prefixes(texts: DataFrame, vectors: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -366,16 +385,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         F.min(order)["doc_id"].alias("doc_id"), F.first("bands").alias("bands")), "texts")
     pairs = written(candidate_pairs(texts), "pairs")
     links = written(verified_pairs(pairs, vectors, idf, threshold), "links")
-    roots = components(links)
-    entries = written(prefixes(written(_open_texts(texts, roots), "open"), vectors, idf, threshold), "prefixes")
+    roots = texts.select("key").join(components(links), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    links = links.select("a", "b")
+    members = texts.join(roots, "key").select("key", "root", F.posexplode("bands").alias("band", "value"))
+    members = written(_open_members(members), "open")
+    for turn in range(ROUNDS):
+        drawn = written(drawn_pairs(members, turn).join(pairs, ["a", "b"], "left_anti"), "drawn")
+        more = written(verified_pairs(drawn.select("a", "b"), vectors, idf, threshold).join(drawn, ["a", "b"]), "more")
+        pairs = pairs.unionByName(drawn.select("a", "b"))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more.select("a", "b"))
+        tops = written(_tops(more), "tops")
+        roots = roots.join(tops, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+        moved = members.join(tops, "root", "left").select("key", F.coalesce("top", "root").alias("root"), "band", "value")
+        members = written(_open_members(moved), "open")
+    entries = written(prefixes(members.select("key", "root").distinct(), vectors, idf, threshold), "prefixes")
     rest = written(remaining_pairs(entries, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
     more = written(verified_pairs(rest.select("a", "b"), vectors, idf, threshold).join(rest, ["a", "b"]), "more")
-    merged = components(more.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")))
-    links = links.select("a", "b").unionByName(more.select("a", "b"))
+    roots = roots.join(_tops(more), "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+    links = links.unionByName(more.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = (texts.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-              .join(merged.select(F.col("key").alias("root"), F.col("root").alias("top")), "root", "left")
-              .select("key", "doc_id", F.coalesce("top", "root").alias("root")).join(degree, "key", "left"))
+    rooted = texts.select("key", "doc_id").join(roots, "key").join(degree, "key", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
     heads = rooted.groupBy("root").agg(first.alias("head"))
     classes = rooted.join(heads, "root").select("key", F.col("head.doc_id").alias("class_id"),
@@ -386,10 +417,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each class, with all its columns; of rows that repeat it, any one."""
+    """One row of each class, with all its columns; of rows that repeat it, any one.
+
+    Null and empty texts are one class. An empty table stays empty.
+    """
+    own, id_, key = (free_name(docs, n) for n in ("own", "kept_id", "kept_key"))
     kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")).distinct()
-    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.withColumn("_key", key).join(
-        kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
-    return rows.dropDuplicates([doc_id, "_key"]).drop("_key")
+        F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
+    rows = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_semi")
+    return rows.dropDuplicates([doc_id, own]).drop(own)

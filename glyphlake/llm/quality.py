@@ -164,7 +164,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id:
 
 def drop_poor(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id: str = "doc_id",
               text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``cut``, with all their columns."""
+    """The rows of ``docs`` whose score reaches ``cut``, with all their columns.
+
+    Null texts are scored as empty ones. Repeated rows and rows without an id are judged each by their own text; an
+    empty table stays empty.
+    """
     model = fit(docs, labels, id_fold(F.col("doc_id"), 5) != 0, doc_id, text)
 
     def run(batches):

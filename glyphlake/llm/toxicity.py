@@ -22,8 +22,6 @@ from glyphlake.llm.common import WORD, words
 
 #: Labelled rows that the model is fitted to at most, drawn by a hash of their id.
 SAMPLE = 20_000
-#: Entries of the lexicon at most, those with most toxic occurrences first.
-LEXICON = 2_000
 #: Occurrences in toxic texts, and their share, that make a word an entry.
 LEAST, SHARE = 8, 0.8
 STEMS = range(4, 9)
@@ -200,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, doc_id: str = "doc_id",
     """Learn lexicon, exceptions and scale from the labelled rows that fulfil ``use``.
 
     Equal texts and most near copies count once, or the rare words of a copied
-    text would look like toxic terms.
+    text would look like toxic terms. Lexicon and exceptions are words of the
+    sample, whose ``bound`` is theirs too.
     """
     sample = labelled_sample(docs, labels, "toxic", use, bound, doc_id, text)
     sample = (sample.withColumn("w", words(F.lower("text"))).withColumn("family", _family()).drop("w")
@@ -210,16 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, doc_id: str = "doc_id",
     counts = counts.persist()
     try:
         is_entry = (F.col("bad") >= LEAST) & (F.col("bad") >= SHARE * (F.col("bad") + F.col("good")))
-        whole = counts.where(is_entry).orderBy(F.desc("bad"), "word").limit(LEXICON).collect()
+        whole = counts.where(is_entry).orderBy(F.desc("bad"), "word").collect()
         stems = (counts.select(F.explode(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.when(
             F.length("word") > n, F.col("word").substr(F.lit(1), n)))).alias("word"), "bad", "good")
             .where(F.col("word").isNotNull()).groupBy("word").agg(
                 F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("forms")))
-        begun = (stems.where(is_entry & (F.col("forms") >= 5)).orderBy(F.desc("bad"), "word").limit(LEXICON).collect())
+        begun = (stems.where(is_entry & (F.col("forms") >= 5)).orderBy(F.desc("bad"), "word").collect())
         terms = _lexicon(whole, begun)
         automaton = Automaton(terms)
         near = counts.where("good > 0").select("word").mapInArrow(_near(automaton), "word string")
-        exceptions = frozenset(r["word"] for r in near.orderBy("word").limit(10 * LEXICON).collect())
+        exceptions = frozenset(r["word"] for r in near.collect())
     finally:
         counts.unpersist()
     model = ToxicityModel(terms, exceptions, 1.0, 0.0)
@@ -317,7 +316,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id: str = "doc_id",
                text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null and empty texts stay. Repeated rows and rows without an id are judged each by their own text; an
+    empty table stays empty, and without labels to learn from every row stays.
+    """
     model = fit(docs, labels, id_fold(F.col("doc_id"), 3) != 1, doc_id, text)
     word = WORD
 

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from glyphlake.llm import (ann, chat_format, decontaminate, license_scan, near_dedup, packing, quality, toxicity,
                            url_filter, warc)
@@ -405,3 +406,45 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, "/root/testdata/sf0.001")
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+
+
+def test_nearest_of_any_magnitude(spark):
+    base = [(1.0, 1.0, 0.1), (1.0, 0.9, 0.2), (1.0, 0.5, -0.3), (-1.0, 0.2, 0.7), (0.3, 0.1, 0.9)]
+    scales = (1e200, 1e-200, 1.0, 1e308, 5e-310)
+    rows = [(i, [c * s for c in v]) for i, (v, s) in enumerate(zip(base, scales))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in ann.nearest(df, df.where("vec_id < 3")).collect()}
+    for q in range(3):
+        def cosine(i):
+            return sum(a * b for a, b in zip(base[q], base[i])) / math.hypot(*base[q]) / math.hypot(*base[i])
+        order = sorted((i for i in range(5) if i != q), key=lambda i: -cosine(i))
+        for rank, i in enumerate(order, 1):
+            assert got[q, i][0] == rank and got[q, i][1] == pytest.approx(cosine(i), rel=1e-9)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = prose(60)
+    rows = [(i, t, "a", "b", "c", "d", "e", "f") for i, t in enumerate([text, text + " end", prose(50), None, "", prose(12)])] + [(None, None, *"abcdef")]
+    kind = "doc_id bigint, text string, own string, OWN_ string, leaky_id string, leaky_key string, kept_id string, kept_key string"
+    docs = spark.createDataFrame(rows, kind)
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 5]
+    items = spark.createDataFrame([(1, rows[5][1])], "item_id bigint, text string")
+    clean = decontaminate.decontaminate(docs, items)
+    assert clean.columns == docs.columns and sorted(clean.collect(), key=repr) == sorted((r for r in docs.collect() if r.doc_id != 5), key=repr)
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for stage in (toxicity.drop_toxic, quality.drop_poor):
+        assert stage(docs, labels).columns == docs.columns and stage(docs.limit(0), labels).count() == 0
+    assert toxicity.drop_toxic(docs, labels).count() == len(rows)
+
+
+def test_all_ordinary_words_near_the_lexicon_are_exceptions(spark):
+    """More than 20,000 ordinary words that begin like a term, late ones in the alphabet among them."""
+    good = ["vreckon" + a + b + c + d for a in "abcdefghijklm" for b in "abcdefghijklm" for c in "abcdefghijklm" for d in "abcdefghijklm"][:24_000]
+    bad = [(i, "you are a vreckon fool " + prose(8), 1) for i in range(40)]
+    docs = bad + [(1_000 + i, " ".join(good[i * 60:i * 60 + 60]), 0) for i in range(400)]
+    frame_ = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id bigint, toxic int")
+    model = toxicity.fit(frame_, labels, F.col("doc_id") >= 0)
+    near = [w for w in good if toxicity.Automaton(model.terms).match(w) is not None]
+    assert set(near) <= model.exceptions
