@@ -83,16 +83,16 @@ def op10(phrases, templates, threshold) -> str:
         p = f"list_filter(range(len(w) - {n - 1}), lambda i: w[i + 1 : i + {n}] = {words(phrase)})"
         places.append(p)
         labels.append(f"case when len({p}) > 0 then '{label}' end")
-    rows = ", ".join(f"('{label}', {words(t)}, {len(set(t.split()))}, "
-                     f"{math.ceil(threshold * len(set(t.split())) - 1e-9)})" for label, t in templates)
+    rows = ", ".join(f"({no}, '{label}', {words(t)}, {len(set(t.split()))}, {math.ceil(threshold * len(set(t.split())) - 1e-9)}, "
+                     f"{math.ceil(len(t.split()) / threshold - 1e-9)})" for no, (label, t) in enumerate(templates))
     return rf"""
-with d as (select doc_id, row_number() over () as r, {_LOW.format("coalesce(text, '')")} as low from documents),
-d2 as (select doc_id, r, low, regexp_extract_all(low, '{WORD}') as w from d),
+with d as (select doc_id, row_number() over () as r, {_WORDS.format("coalesce(text, '')")} as w from documents),
 base as (select doc_id, r, w, list_concat({", ".join(places)}) as places,
-  list_sort(list_distinct(list_filter([{", ".join(labels)}], lambda x: x is not null))) as base from d2),
-t(label, own, n, need) as (values {rows}),
-b as (select distinct r, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{WORD}')) as words from d2),
-m as (select r, label, len(list_intersect(words, own)) / n as c from b join t on len(list_intersect(words, own)) >= need),
+  list_sort(list_distinct(list_filter([{", ".join(labels)}], lambda x: x is not null))) as base from d),
+t(no, label, own, n, need, size) as (values {rows}),
+m as (select r, no, any_value(label) as label, max(len(list_intersect(w[i + 1 : i + size], own)) / n) as c
+  from (select r, w, no, label, own, n, need, size, unnest(list_filter(range(len(w)), lambda i: list_contains(own, w[i + 1]))) as i
+    from d join t on len(list_intersect(w, own)) >= need) where len(list_intersect(w[i + 1 : i + size], own)) >= need group by r, no),
 found as (select r, list(label) as labels, max(c) as c from m group by r)
 select doc_id, len(w)::bigint as n_words, len(places)::bigint as n_base, list_min(places)::bigint as first_word,
   list_max(places)::bigint as last_word, array_to_string(base, ',') as base_labels,

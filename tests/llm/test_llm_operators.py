@@ -379,7 +379,12 @@ def test_hilbert_neighbours():
 def test_licenses(spark):
     docs = [(0, None), (1, ""), (2, "x MIT License, and the mit\nlicense. Mit-License"), (3, prose(400) + "\nlicensed under cc, by-nc 4.0\n"),
             (4, "GNU General Public License\nredistribution and use in source and binary forms, with or without changes are permitted"),
-            (5, "the apache apache license license"), (5, "the apache apache license license"), (None, "All rights reserved."), (6, "license " * 5000)]
+            (5, "the apache apache license license"), (5, "the apache apache license license"), (None, "All rights reserved."), (6, "license " * 5000),
+            (7, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided"),
+            (8, prose(9) + "\n Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated files"),
+            (9, " ".join(x + " " + prose(2) for x in license_scan.TEMPLATES[5][1].split())), (10, prose(3_000).replace(" ", " all rights "))]
+    docs += [(20 + i, "\n".join(re.findall(r"(?:\S+\s*){1,7}", prose(20) + " " + t + " " + prose(20)))) for i, (_, t) in enumerate(license_scan.TEMPLATES)]
+    docs += [(40 + i, " ".join(w for n, w in enumerate(t.split()) if (n * 7 + i) % 6)) for i, (_, t) in enumerate(license_scan.TEMPLATES)]
     rows = license_scan.scan_licenses(frame(spark, docs)).collect()
     assert len(rows) == len(docs)
     got = {r.doc_id: r for r in rows}
@@ -387,13 +392,18 @@ def test_licenses(spark):
         w = tokens(text)
         at = [k for p in license_scan.PHRASES for k in range(len(w)) if w[k:k + len(p.split())] == p.split()]
         base = {v for p, v in license_scan.PHRASES.items() if any(w[k:k + len(p.split())] == p.split() for k in range(len(w)))}
-        found = {(n, v): c for n, line in enumerate((text or "").split("\n")) for v, t in license_scan.TEMPLATES
-                 if (c := len(set(t.split()) & set(tokens(line))) / len(set(t.split()))) >= license_scan.THRESHOLD}
+        found = {}
+        for no, (v, t) in enumerate(license_scan.TEMPLATES):
+            own, size = set(t.split()), license_scan.window_size(t)
+            c, start = max(((len(own & set(w[k:k + size])), -k) for k in range(len(w)) if w[k] in own), default=(0, 0))
+            if c / len(own) >= license_scan.THRESHOLD:
+                found[no] = (v, -start, c / len(own))
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
-        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | {v for _, v in found}))
-        assert r.score == pytest.approx(1.0 if at else max(found.values(), default=0.0))
-        assert {(b.line, b.label) for b in r.blocks} == set(found)
+        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | {v for v, _, _ in found.values()}))
+        assert r.score == pytest.approx(1.0 if at else max((c for _, _, c in found.values()), default=0.0))
+        assert [tuple(b) for b in r.blocks] == sorted(found.values())
+    assert got[7].labels == "bsd" and got[8].labels == "mit" and all(got[20 + i].labels for i in range(len(license_scan.TEMPLATES)))
     assert license_scan.scan_licenses(frame(spark, docs).limit(0)).count() == 0
 
 
