@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.catalog.pages import DISPLAYS, PARTS
 from glyphlake.catalog.registry import query
-from glyphlake.operators import filters, pages, reports
+from glyphlake.operators import filters, pages, preferences, reports
 
 
 @query("p03_sanitize", "select event_id, case when value between 10 and 50 then value else 25.0::double end as value from events")
@@ -12,6 +12,43 @@ def _(t):
     return t.events.select("event_id", filters.in_range_or(F.col("value"), 10, 50, 25.0).alias("value"))
 
 
+_SETTINGS = """e as (select event_id as e, '{"target":{"bundle":' || case event_id % 4 when 0 then '"app' || event_id || '"' when 1 then '12' when 2 then '""' else 'null' end
+  || ',"windowId":' || case event_id % 3 when 0 then (event_id - 6)::varchar when 1 then '"x"' else event_id || '.5' end
+  || case event_id % 6 when 0 then ',"label":"L"' else '' end || '},"trigger":' || case event_id % 7 when 0 then '5' else
+    '{"modifier":"' || case event_id % 5 when 0 then 'shift' when 1 then 'command' else 'evil' end || '","mode":' || case event_id % 2 when 0 then '"hover"' else '7' end
+    || ',"hoverDelayMs":' || event_id * 7 % 3000 || '}' end || ',"images":' || case event_id % 5 when 0 then '0' when 1 then '"y"' when 2 then 'null' when 3 then 'false' else '[]' end
+  || case event_id % 3 when 0 then '' else ',"engine":"' || case event_id % 4 when 0 then 'auto' else 'rm' end || '","interval":' || event_id % 130 / 10 end
+  || ',"voting":{"passes":' || event_id % 12 || ',"everyN":"a"},"dictionaries":[{"name":"d' || event_id || '","enabled":"yes"},{"name":"","enabled":true},null,{"enabled":true},{"name":"z","enabled":0}],"more":'
+  || event_id || '}' as j from events)"""
+
+
+@query("p03_sanitize_settings", f"""
+with {_SETTINGS}, t as (select *, e % 7 <> 0 as is_object, case when e % 4 = 0 then 'app' || e end as bundle, j->'$.interval' as i from e)
+select e as event_id, bundle, case when e % 3 = 0 and e > 6 then e - 6 end as window_id, case when e % 6 = 0 then 'L' else coalesce(bundle, 'not set') end as label,
+  case when is_object then case e % 5 when 0 then 'shift' when 1 then 'command' else 'option' end end as modifier,
+  case when is_object then case when e % 2 = 0 then 'hover' else 'hold' end end as mode,
+  case when is_object then case when e * 7 % 3000 between 50 and 2000 then e * 7 % 3000 else 300 end end::double as hover,
+  e % 5 in (1, 4) as images, case when e % 3 <> 0 then case when e % 4 = 0 then 'auto' else 'vision' end end as engine,
+  case when e % 3 <> 0 then case when e % 130 / 10 between 0.1 and 10 then e % 130 / 10 else 2 end end::double as "interval",
+  (case when e % 12 between 1 and 9 then e % 12 else 3 end)::double as passes, 5::double as every_n, 'd' || e || ':true,z:false' as dictionaries,
+  case when is_object then 'more=' || e else 'more=' || e || ',trigger=5' end as rest from t""")
+def _(t):
+    e = F.col("event_id")
+    rows = t.events.select("event_id", F.expr("""concat('{"target":{"bundle":', case event_id % 4 when 0 then concat('"app', event_id, '"') when 1 then '12' when 2 then '""' else 'null' end,
+      ',"windowId":', case event_id % 3 when 0 then string(event_id - 6) when 1 then '"x"' else concat(event_id, '.5') end, if(event_id % 6 = 0, ',"label":"L"', ''), '},"trigger":',
+      if(event_id % 7 = 0, '5', concat('{"modifier":"', case event_id % 5 when 0 then 'shift' when 1 then 'command' else 'evil' end, '","mode":', if(event_id % 2 = 0, '"hover"', '7'),
+      ',"hoverDelayMs":', event_id * 7 % 3000, '}')), ',"images":', case event_id % 5 when 0 then '0' when 1 then '"y"' when 2 then 'null' when 3 then 'false' else '[]' end,
+      if(event_id % 3 = 0, '', concat(',"engine":"', if(event_id % 4 = 0, 'auto', 'rm'), '","interval":', event_id % 130 / 10)), ',"voting":{"passes":', event_id % 12,
+      ',"everyN":"a"},"dictionaries":[{"name":"d', event_id, '","enabled":"yes"},{"name":"","enabled":true},null,{"enabled":true},{"name":"z","enabled":0}],"more":', event_id, '}')""").alias("j"))
+    current = {"modifier": "option", "mode": "hold", "hoverDelayMs": 300, "engine": "vision", "interval": 2, "passes": 3, "everyN": 5}
+    s = preferences.sanitize_settings(rows, "j", current)
+    named = F.transform("settings.dictionaries", lambda d: F.concat(d["name"], F.lit(":"), d["enabled"].cast("string")))
+    rest = F.array_sort(F.transform(F.map_entries("rest"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
+    return s.select(e, "settings.target.bundle", F.col("settings.target.windowId").alias("window_id"), "settings.target.label", "settings.trigger.modifier",
+                    "settings.trigger.mode", F.col("settings.trigger.hoverDelayMs").alias("hover"), "settings.images", "settings.engine", "settings.interval",
+                    "settings.voting.passes", F.col("settings.voting.everyN").alias("every_n"), F.array_join(named, ",").alias("dictionaries"), F.array_join(rest, ",").alias("rest"))
+
+
 @query("p04_validate_requests", """
 select role, count(*) as n_rejects, min_by(conv_id, (conv_id, turn)) as conv_id, min_by(turn, (conv_id, turn)) as turn
 from conversations where not coalesce(length(text) <= 512, false) group by role""")

@@ -114,8 +114,8 @@ def base_forms(surfaces: DataFrame, rules: Iterable[Rule], parts: Iterable[str]
                rounds: int = 12, surface: str = "surface") -> DataFrame:
     """(surface, form, type, steps, route): every base form of each distinct surface, and the surface itself.
 
-    ``rounds`` bounds the rules that are undone one after another; no Japanese
-    word stacks that many. Rules without a name are not counted as steps. Per
+    Fails if rules still apply after ``rounds`` of them were undone one after another;
+    no Japanese word stacks that many. Rules without a name are not counted as steps. Per
     form and type the shortest route is kept, ties by its names. Null and empty
     surfaces have no forms.
     """
@@ -149,5 +149,7 @@ def base_forms(surfaces: DataFrame, rules: Iterable[Rule], parts: Iterable[str]
         if edge.isEmpty():
             break
         found = found.unionByName(edge)  # both are written, so the plan stays a union of scans
+    else:
+        raise ValueError(f"rules still apply after {rounds} rounds")
     found = shortest(found)
     return found.where(~F.col("type").isin(*parts)) if parts else found

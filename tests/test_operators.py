@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.chains import chain
 from glyphlake.functions.text import class_fraction
-from glyphlake.operators import anchors, corpus, pages, reports, settings, votes
+from glyphlake.operators import anchors, corpus, pages, preferences, reports, settings, votes
 from glyphlake.session import scratch_path
 from glyphlake.sources import html, messages, records
 from glyphlake.spatial import overlap_join
@@ -119,6 +119,22 @@ def test_records_of_odd_archives(spark):
         ("か", "か", 0, "g"), ("たべる", "たべる", 5, '["eat"]'), ("食べる", "たべる", 5, '["eat"]')]
 
 
+def test_settings(spark):
+    current = {"modifier": "option", "mode": "hold", "hoverDelayMs": 300, "engine": "vision", "interval": 2, "passes": 3, "everyN": 5}
+    texts = ['{"target":{"bundle":123,"windowId":"abc"}}', '{"target":{"bundle":"a.b","windowId":42,"label":"K"},"new":{"x":[1]}}',
+             '{"trigger":{"modifier":"evil","mode":"nonsense","hoverDelayMs":99999}}', '{"trigger":{"modifier":"shift","mode":"hover","hoverDelayMs":50}}',
+             '{"engine":"rm","interval":-5,"voting":{"passes":"a","everyN":0}}', '{"engine":"auto","interval":0.1,"voting":{"passes":9,"everyN":60.0}}',
+             '{"dictionaries":[{"name":"J","enabled":"yes"},{"name":"","enabled":true},null,{"enabled":true},{"name":5},"x"]}', '{"dictionaries":7,"images":""}',
+             "[1]", "no json", None, "{}"]
+    rows = preferences.sanitize_settings(spark.createDataFrame([(t,) for t in texts], "j string"), "j", current).collect()
+    s = [r.settings for r in rows]
+    assert tuple(s[0].target) == (None, None, "not set") and tuple(s[1].target) == ("a.b", 42, "K") and rows[1].rest == {"new": '{"x":[1]}'}
+    assert tuple(s[2].trigger) == ("option", "hold", 300) and tuple(s[3].trigger) == ("shift", "hover", 50)
+    assert (s[4].engine, s[4].interval, *s[4].voting) == ("vision", 2, 3, 5) and (s[5].engine, s[5].interval, *s[5].voting) == ("auto", 0.1, 9, 60)
+    assert [tuple(d) for d in s[6].dictionaries] == [("J", True)] and s[7].dictionaries is None and rows[7].rest == {"dictionaries": "7"} and s[7].images is False
+    assert s[8:11] == [None] * 3 and s[11].target is None and s[11].images is None and rows[11].rest == {}
+
+
 def test_ndjson(spark):
     lines = spark.createDataFrame([('{"a":1}',), ("",), ("  ",), ('{"a":',), (None,), ('{"a":null}',)], "line string")
     assert {r.a for r in messages.parse_ndjson(lines, "line", "a int").collect()} == {1, None}
