@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from glyphlake.catalog.registry import query
-from glyphlake.functions.inflection import Rule, base_forms
+from glyphlake.functions import fixed
+from glyphlake.functions.inflection import Rule, base_forms, inflected
 from glyphlake.functions.text import prefixes
 from glyphlake.operators import lookup
+from glyphlake.session import cut
 
 # The given tables hold invented European prose, so European endings stand in.
 ENDINGS = (
@@ -38,10 +40,9 @@ def annotate(t):
     """The best dictionary entry at every position of every turn: longest, fewest steps, best score."""
     keys = ["conv_id", "turn", "pos"]
     spans = t.v_query.select(*keys, F.inline(prefixes("q")))
-    forms = base_forms(spans.select("surface"), ENDINGS, ()).groupBy("surface", "form").agg(F.min("steps").alias("steps"))
-    # Forms that are no entries go first: they would be joined to every place of their surface.
     shown = lookup.group_score(lookup.visible(t.v_dict, t.v_prefs), ["key"]).withColumnRenamed("key", "form")
-    known = forms.join(shown, "form")
+    # The dictionary is inflected once; as long as its surfaces are few, Spark sends them to the spans.
+    known = cut(inflected(shown.select("form"), ENDINGS, fixed.MAX_MATCH, ()).join(shown, "form"))
     hits = spans.join(known, "surface").withColumn("ci", F.col("steps")).withColumn("min_freq", F.lit(None).cast("bigint"))
     groups = lookup.keep_longest(hits.drop("surface"), keys)
     return lookup.best_match(groups, keys).select(*keys, "len", "form", "steps", "score")

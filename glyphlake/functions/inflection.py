@@ -153,3 +153,45 @@ def base_forms(surfaces: DataFrame, rules: Iterable[Rule], parts: Iterable[str]
         raise ValueError(f"rules still apply after {rounds} rounds")
     found = shortest(found)
     return found.where(~F.col("type").isin(*parts)) if parts else found
+
+
+def inflected(forms: DataFrame, rules: Iterable[Rule], longest: int, parts: Iterable[str] = PARTS, rounds: int = 12,
+              form: str = "form") -> DataFrame:
+    """(surface, form, steps): every surface of at most ``longest`` characters whose base forms hold one of ``forms``.
+
+    The rows of ``base_forms`` for these forms, found from their side: rules are applied to the forms, once for a
+    whole dictionary, in place of being undone at every place of a text. ``steps`` is that of the shortest route.
+    Fails if longer surfaces that may become short again are left after ``rounds`` rules.
+    """
+    rules = list(dict.fromkeys(rules))
+    table = forms.sparkSession.createDataFrame(
+        rules, "suffix_in string, suffix_out string, type_in string, type_out string, step string")
+    ending = max((len(r.suffix_out) for r in rules), default=0)
+    shrink = max((len(r.suffix_out) - len(r.suffix_in) for r in rules), default=0)
+    most = longest + max(0, shrink) * rounds
+
+    def shortest(rows):
+        return rows.groupBy("form", "surface", "type").agg(F.min("steps").alias("steps"))
+
+    # A word as it stands in the dictionary may be of any type but a part of a word.
+    any_type = "\u0000"
+    start = forms.select(F.col(form).alias("form")).where((F.length("form") > 0) & (F.length("form") <= most)).distinct().select(
+        "form", F.col("form").alias("surface"), F.lit(any_type).alias("type"), F.lit(0).alias("steps"))
+    edge = found = cut(start)
+    for _ in range(rounds):
+        ends = F.sequence(F.lit(0), F.least(F.lit(ending), F.length("surface")))
+        open_ = edge.select("*", F.explode(F.transform(ends, lambda n: F.right("surface", n))).alias("suffix_out"))
+        fits = F.when(F.col("type") == any_type, ~F.col("type_out").isin(*parts) if parts else F.lit(True)).otherwise(F.col("type") == F.col("type_out"))
+        new = open_.join(F.broadcast(table), "suffix_out").where(fits).select(
+            "form", F.concat(F.left("surface", F.length("surface") - F.length("suffix_out")), "suffix_in").alias("surface"),
+            F.col("type_in").alias("type"), (F.col("steps") + (F.col("step") != "").cast("int")).alias("steps"))
+        best = shortest(new.where((F.col("surface") != "") & (F.length("surface") <= most)))
+        known = shortest(found).withColumnRenamed("steps", "old")
+        edge = cut(best.join(known, ["form", "surface", "type"], "left").where(
+            F.col("old").isNull() | (F.col("steps") < F.col("old"))).drop("old"))
+        if edge.isEmpty():
+            break
+        found = found.unionByName(edge)
+    else:
+        raise ValueError(f"rules still apply after {rounds} rounds")
+    return found.where(F.length("surface") <= longest).groupBy("surface", "form").agg(F.min("steps").alias("steps"))

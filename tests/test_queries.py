@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from compare import compare, connect
 from glyphlake import catalog
 from glyphlake.functions import gloss, text
-from glyphlake.functions.inflection import base_forms, japanese_rules
+from glyphlake.functions.inflection import Rule, base_forms, inflected, japanese_rules
 from glyphlake.ordered import Ordered
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +65,19 @@ def test_base_forms(spark, word, base):
     assert base in {r.form for r in got.collect()}
 
 
+def test_inflected_is_the_other_side(spark):
+    """What a dictionary is inflected to is what undoing the rules finds in the surfaces."""
+    rules = [Rule("た", "る", "", "v1", "past"), Rule("た", "い", "past", "adj", "past"), Rule("くな", "い", "adj", "adj", ""),
+             Rule("よ", "いい", "adj", "adj", ""), Rule("られる", "る", "v1", "v1", "passive"), Rule("ない", "る", "adj", "v1", "negative"),
+             Rule("て", "る", "te", "v1", "te"), Rule("ちゃう", "て", "", "te", "contraction")]
+    words = ["食べる", "いい", "高い", "る", ""]
+    found = inflected(spark.createDataFrame([(w,) for w in words], "form string"), rules, 6, {"te"}).collect()
+    undone = base_forms(spark.createDataFrame([(r.surface,) for r in found] + [("食べて",), ("x",)], "surface string"), rules, {"te"})
+    want = undone.where(F.col("form").isin(*words)).groupBy("surface", "form").agg(F.min("steps").alias("steps")).collect()
+    assert {tuple(r) for r in found} == {tuple(r) for r in want} and len(found) > 10
+    assert {("食べられた", "食べる", 2), ("食べちゃう", "食べる", 2), ("よ", "いい", 0)} <= {tuple(r) for r in found}
+
+
 def test_silent_steps_do_not_count(spark):
     got = base_forms(spark.createDataFrame([("書かなければ",)], "surface string"), japanese_rules())
     assert got.where("form = '書く'").agg(F.min("steps")).first()[0] == 2
