@@ -89,7 +89,7 @@ def register(archives: DataFrame, known: DataFrame, stem: str, title: str, tie:
 
     ``known`` has (stem, label, ord) and is a short fixed list.
     """
-    rows = archives.join(F.broadcast(known.select(F.col("stem").alias(stem), "label", "ord")), stem, "left")
+    rows = archives.join(known.select(F.col("stem").alias(stem), "label", "ord"), stem, "left")
     rows = rows.withColumns({"label": F.coalesce("label", F.nullif(F.col(title), F.lit("")), F.col(stem)),
                              "_new": F.col("ord").isNull(), "_ord": F.coalesce("ord", F.lit(0))})
     return Ordered(rows, [], ["_new", "_ord", stem, *tie]).scan(number="place").df.drop("_new", "_ord", "ord")
