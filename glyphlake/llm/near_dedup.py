@@ -14,7 +14,9 @@
    by these weights or by counts alone. The second is for large families, whose
    common text is so frequent that its weight no longer binds them.
 5. Texts that verified pairs connect are one class, found by alternating star
-   contraction over tables in the shared folder.
+   contraction over tables in the shared folder. In buckets that still hold several
+   classes, the texts outside the largest class meet a text drawn from that class and
+   one drawn from the bucket, for a few turns; each turn is linear in those texts.
 6. Where a bucket still holds several classes, its texts meet once more by an exact
    join: two similar texts share one of the rarest shingles of both (prefix
    filter), and what stands behind it must be enough on both sides (positional
@@ -39,6 +41,8 @@ THRESHOLD = 0.8
 ROWS, BANDS = 3, 12
 #: The larger, the less a shingle's rarity counts.
 DAMPING = 8
+#: Most turns in which open buckets draw texts; the exact join takes what they leave.
+TURNS = 4
 #: Counters of document frequency; a power of two.
 COUNTERS = 1 << 18
 #: Bits of the filter that keeps vectors of texts without a candidate at home; a power of two.
@@ -56,7 +60,7 @@ def shingle_vectors(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id"
     """(doc_id, key, shingles, counts): the weighted set of each row's text, empty without words.
 
     ``key`` is the MD5 of the text, ``shingles`` sorted 32-bit hashes, ``counts``
-    16-bit numbers or null if all are one. A text of fewer words is one shingle.
+    32-bit numbers or null if all are one. A text of fewer words is one shingle.
     """
     import xxhash
 
@@ -86,7 +90,7 @@ def shingle_vectors(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id"
                         s = _mix(s + h[i:i + n])
                     s, c = np.unique((s >> np.uint64(32)).astype(np.uint32), return_counts=True)
                     sets.append(s.tobytes())
-                    counts.append(None if not n or c.max() == 1 else np.minimum(c, 65_535).astype(np.uint16).tobytes())
+                    counts.append(None if not n or c.max() == 1 else c.astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()),
                      pa.array(counts, pa.binary())], ["doc_id", "key", "shingles", "counts"])
@@ -121,7 +125,7 @@ def inverse_frequencies(vectors: DataFrame) -> np.ndarray:
 def _weights(shingles, counts, idf):
     h = np.frombuffer(shingles, np.uint32)
     w = idf[h & np.uint32(COUNTERS - 1)]
-    return h, w if counts is None else w * np.frombuffer(counts, np.uint16)
+    return h, w if counts is None else w * np.frombuffer(counts, np.uint32)
 
 
 def consistent_samples(h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -231,7 +235,7 @@ def verified_pairs(pairs: DataFrame, vectors: DataFrame, idf: np.ndarray, thresh
                 ha, wa = _weights(sa.as_buffer(), ca.as_py(), idf.value)
                 hb, wb = _weights(sb.as_buffer(), cb.as_py(), idf.value)
                 _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                na, nb = (np.ones(len(h)) if c.as_py() is None else np.frombuffer(c.as_py(), np.uint16).astype(float)
+                na, nb = (np.ones(len(h)) if c.as_py() is None else np.frombuffer(c.as_py(), np.uint32).astype(float)
                           for h, c in ((ha, ca), (hb, cb)))
                 best = 0.0
                 for x, y in ((wa, wb), (na, nb)):
@@ -267,18 +271,50 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def _open_texts(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, root): the texts of buckets of three or more texts that hold more than one class."""
-    members = texts.join(roots, "key", "left").select(
-        "key", F.coalesce("root", "key").alias("root"), F.posexplode("bands").alias("band", "value"))
+def _open_members(members: DataFrame) -> DataFrame:
+    """Those rows (key, root, band, value) whose bucket has three or more texts and more than one class."""
     mixed = members.groupBy("band", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 and least <> most")
-    return members.join(mixed.select("band", "value"), ["band", "value"], "left_semi").select("key", "root").distinct()
+    return members.join(mixed.select("band", "value"), ["band", "value"], "left_semi").select("key", "root", "band", "value")
 
 
-def prefixes(texts: DataFrame, vectors: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b, root_a, root_b): pairs of different classes that the buckets of the rows (key, root, band, value) draw.
+
+    A text outside its bucket's largest class meets one text of that class and one of the bucket.
+    """
+    def draw(kind):
+        return F.xxhash64("key", "band", F.lit(2 * turn + kind))
+
+    classes = members.groupBy("band", "value", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("key", draw(0)).alias("own"), F.min_by("key", draw(1)).alias("key"))
+    hub = F.min_by(F.struct("key", "root"), draw(1))
+    buckets = classes.groupBy("band", "value").agg(
+        F.max_by(F.struct(F.col("own").alias("key"), "root"), F.struct("n", "root")).alias("core"), hub.alias("hub"))
+    outside = members.join(buckets, ["band", "value"]).where("root <> core.root")
+    met = outside.select("key", "root", F.explode(F.array("core", "hub")).alias("other")).where("root <> other.root")
+    turned = F.col("key") > F.col("other.key")
+    return met.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b"),
+                      F.when(turned, F.col("other.root")).otherwise(F.col("root")).alias("root_a"),
+                      F.when(turned, F.col("root")).otherwise(F.col("other.root")).alias("root_b")).distinct()
+
+
+def _tops(links: DataFrame) -> DataFrame:
+    """(root, top): the classes that ``links`` (root_a, root_b) join."""
+    merged = components(links.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")))
+    return written(merged.select(F.col("key").alias("root"), F.col("root").alias("top")), "tops")
+
+
+def _moved(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """``rows`` with the classes that theirs became."""
+    return rows.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top").select(*rows.columns)
+
+
+def prefixes(texts: DataFrame, vectors: DataFrame, n_rows: int, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """(key, root, shingle, short, by_count, by_weight): the rarest shingles of the texts (key, root).
 
+    ``vectors`` has the rows of at least these texts, ``n_rows`` is the number of all rows.
+
     In the order of weights, rarest first, the shingles from the first common one of
     a similar pair on hold ``threshold`` of both texts and, as a pair's similarity s
     is an overlap of s / (1 + s) of their sum, 2 * threshold / (1 + threshold) of the
@@ -287,7 +323,7 @@ def prefixes(texts: DataFrame, vectors: DataFrame, idf: np.ndarray, threshold: f
     ``by_weight`` are (all, rest): of the text, and from the shingle on. Shingles of
     only one row are left out.
     """
-    n = max(1, vectors.count())
+    n = max(1, n_rows)
     once = 1 + (np.log1p(n) + np.log1p(n / 2)) / 2 / DAMPING  # between the weights of frequency 1 and 2
     shared = vectors.sparkSession.sparkContext.broadcast(idf)
     held = _held(vectors.select("key", "shingles", "counts"), texts.select("key")).groupBy("key").agg(
@@ -306,7 +342,7 @@ def prefixes(texts: DataFrame, vectors: DataFrame, idf: np.ndarray, threshold: f
                     one = shared.value[h & np.uint32(COUNTERS - 1)]
                     order = np.lexsort((h, -one))
                     h, w, one = h[order], w[order].astype(float), one[order]
-                    m = np.ones(len(h)) if counts is None else np.frombuffer(counts, np.uint16)[order].astype(float)
+                    m = np.ones(len(h)) if counts is None else np.frombuffer(counts, np.uint32)[order].astype(float)
                     n_rest, w_rest = m[::-1].cumsum()[::-1], w[::-1].cumsum()[::-1]
                     keep = np.nonzero((n_rest >= (threshold - 1e-6) * n_rest[:1]) & (one < once))[0]
                     taken.append(np.full(len(keep), row))
@@ -366,16 +402,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         F.min(order)["doc_id"].alias("doc_id"), F.first("bands").alias("bands")), "texts")
     pairs = written(candidate_pairs(texts), "pairs")
     links = written(verified_pairs(pairs, vectors, idf, threshold), "links")
-    roots = components(links)
-    entries = written(prefixes(written(_open_texts(texts, roots), "open"), vectors, idf, threshold), "prefixes")
+    roots = texts.select("key").join(components(links), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    links = links.select("a", "b")
+    members = written(_open_members(texts.join(roots, "key").select("key", "root", F.posexplode("bands").alias("band", "value"))), "open")
+    held = written(_held(vectors.select("key", "shingles", "counts"), members.select("key")).groupBy("key").agg(
+        F.first(F.struct("shingles", "counts")).alias("v")).select("key", "v.*"), "held")
+    for turn in range(TURNS):
+        drawn = written(drawn_pairs(members, turn).join(pairs, ["a", "b"], "left_anti"), "drawn")
+        more = written(verified_pairs(drawn.select("a", "b"), held, idf, threshold).join(drawn, ["a", "b"]), "more")
+        pairs = pairs.unionByName(drawn.select("a", "b"))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more.select("a", "b"))
+        tops = _tops(more)
+        roots, members = _moved(roots, tops), written(_open_members(_moved(members, tops)), "open")
+    open_texts = written(members.select("key", "root").distinct(), "open-texts")
+    entries = written(prefixes(open_texts, held, vectors.count(), idf, threshold), "prefixes")
     rest = written(remaining_pairs(entries, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = written(verified_pairs(rest.select("a", "b"), vectors, idf, threshold).join(rest, ["a", "b"]), "more")
-    merged = components(more.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")))
-    links = links.select("a", "b").unionByName(more.select("a", "b"))
+    more = written(verified_pairs(rest.select("a", "b"), held, idf, threshold).join(rest, ["a", "b"]), "more")
+    roots, links = _moved(roots, _tops(more)), links.unionByName(more.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = (texts.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-              .join(merged.select(F.col("key").alias("root"), F.col("root").alias("top")), "root", "left")
-              .select("key", "doc_id", F.coalesce("top", "root").alias("root")).join(degree, "key", "left"))
+    rooted = texts.select("key", "doc_id").join(roots, "key").join(degree, "key", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
     heads = rooted.groupBy("root").agg(first.alias("head"))
     classes = rooted.join(heads, "root").select("key", F.col("head.doc_id").alias("class_id"),
