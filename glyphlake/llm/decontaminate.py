@@ -1,8 +1,9 @@
 """Benchmark decontamination: word windows of test items looked up in every training text.
 
-The hashes of the test windows form the broadcast set. Every window of a text is
-hashed where the text lies; only windows whose hash is in the set leave the row,
-with their words, and an exact join on the words decides.
+The hashes of the test windows form the broadcast set, a table of bits whose size is
+the same for every benchmark. Every window of a text is hashed where the text lies;
+only windows whose bit is set leave the row, with their words, and an exact join on
+the words decides. A larger benchmark lets more windows through to that join.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import ascii_lower, free_name, words
+from glyphlake.llm.common import ascii_lower, free_name, words, written
 
 WINDOW = 10
-#: Hashes that are sent along with the plan at most. A larger benchmark skips the
-#: set: then every window goes to the exact join, with the same result.
-SET_BOUND = 200_000
+#: Bits of the broadcast set; a power of two.
+SET_BITS = 1 << 22
+#: Windows of the benchmark up to which the exact join may broadcast them.
+BROADCAST_BOUND = 200_000
 
 
 def _spans(n_words: Column, size: int) -> Column:
@@ -35,28 +37,39 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "ite
         "words", "size", "hash").agg(F.collect_set("item").alias("items"))
 
 
-def _hits_of(size: int, hashes: list[int] | None) -> Column:
-    def part(i):
-        return F.slice("w", i + 1, size)
+def _place(hashed: Column) -> tuple[Column, Column]:
+    """Word and bit of a hash in the set."""
+    at = F.pmod(hashed, F.lit(SET_BITS))
+    return F.call_function("shiftright", at, F.lit(6)).cast("int"), at.bitwiseAND(63).cast("int")
 
-    at = _spans(F.size("w"), size)
-    if hashes is not None:
-        at = F.filter(at, lambda i: F.xxhash64(part(i)).isin(hashes))
-    return F.transform(at, lambda i: F.struct(
-        i.alias("at"), F.lit(size).alias("size"), F.array_join(part(i), " ").alias("words")))
 
+def hash_set(windows: DataFrame) -> Column:
+    """The bits of all hashes in ``windows``: a literal array of ``SET_BITS`` / 64 numbers."""
+    word, bit = _place(F.col("hash"))
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")))
+    table = [0] * (SET_BITS // 64)
+    for r in windows.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(bits.alias("bits")).collect():
+        table[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
-def _hits(windows: DataFrame) -> tuple[Column, bool]:
-    """Array of (at, size, words) for the windows of ``w`` that may occur; whether the table may be broadcast."""
-    known = windows.select("size", "hash").distinct().limit(SET_BOUND + 1).collect()
-    small = len(known) <= SET_BOUND
-    sizes = sorted({r["size"] for r in known}) if small else [
-        r[0] for r in windows.select("size").distinct().collect()]
-    found = [F.array().cast("array<struct<at:int,size:int,words:string>>")]
-    for size in sizes:
-        hashes = sorted(r["hash"] for r in known if r["size"] == size) if small else None
-        found.append(_hits_of(size, hashes))
-    return F.concat(*found), small
+
+def _hits(windows: DataFrame) -> Column:
+    """Array of (at, size, words) for the windows of ``w`` that may occur."""
+    known = hash_set(windows)
+
+    def possible(hashed):
+        word, bit = _place(hashed)
+        return F.call_function("shiftright", F.get(known, word), bit).bitwiseAND(1) == 1
+
+    def of_size(size):
+        def part(i):
+            return F.slice("w", i + 1, size)
+        hashed = F.transform(_spans(F.size("w"), size), lambda i: F.struct(i.alias("at"), F.xxhash64(part(i)).alias("hash")))
+        return F.transform(F.filter(hashed, lambda x: possible(x["hash"])), lambda x: F.struct(
+            x["at"].alias("at"), F.lit(size).alias("size"), F.array_join(part(x["at"]), " ").alias("words")))
+
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    return F.concat(F.array().cast("array<struct<at:int,size:int,words:string>>"), *map(of_size, sizes))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
@@ -68,14 +81,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_
     words leaks nowhere; repeated items and rows count each on their own. A null
     item id is the string ``null``. Other columns are not carried.
     """
-    windows = item_windows(benchmark, window, item_id, item_text)
-    hits, small = _hits(windows)
+    windows = written(item_windows(benchmark, window, item_id, item_text), "windows")
+    small = windows.count() <= BROADCAST_BOUND
     rows = (docs.select(F.col(doc_id).alias("doc_id"), words(ascii_lower(F.col(text))).alias("w"))
             .select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                    F.size("w").cast("bigint").alias("n_words"), hits.alias("hits")))
+                    F.size("w").cast("bigint").alias("n_words"), _hits(windows).alias("hits")))
     table = windows.select("words", "items")
     found = (rows.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("h"))
-             .select("row", "doc_id", "n_words", "h.at", "h.size", "h.words")
+             .select("row", "doc_id", "n_words", "h.at", "h.size",
+                     # Rows without a hit get a key that is no words, each its own.
+                     F.coalesce("h.words", F.concat(F.lit(" "), F.col("row").cast("string"))).alias("words"))
              .join(F.broadcast(table) if small else table, "words", "left"))
     place = F.when(F.col("items").isNotNull(), F.struct("at", "size"))
     by_row = found.groupBy("row", "doc_id", "n_words").agg(

@@ -171,9 +171,11 @@ def test_pair_identity():
     assert m.score(i, x) == pytest.approx(1 / (1 + math.exp(-z)))
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_leaks(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "SET_BOUND", bound)
+@pytest.mark.parametrize("bits,bound", [(1 << 22, 200_000), (1 << 22, 0), (64, 0)])
+def test_leaks(spark, monkeypatch, bits, bound):
+    """Also without a broadcast, and with a set so small that nearly every window passes it."""
+    monkeypatch.setattr(decontaminate, "SET_BITS", bits)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BOUND", bound)
     items = [(0, prose(30)), (1, prose(14)), (1, prose(12)), (2, "Short Item"), (3, None), (4, "!!"), (None, prose(11)), (5, prose(30))]
     items.append((6, items[0][1]))
     docs = [(i, prose(40)) for i in range(20)]
