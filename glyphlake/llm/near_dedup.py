@@ -16,7 +16,8 @@
 5. Texts that verified pairs connect are one class, found by alternating star
    contraction over tables in the shared folder. In buckets that still hold several
    classes, the texts outside the largest class meet a text drawn from that class and
-   one drawn from the bucket, for a few turns; each turn is linear in those texts.
+   one drawn from the bucket, for a few turns; each turn is linear in those texts. A
+   bucket whose classes joined nothing in a turn draws no more.
 6. Where a bucket still holds several classes, its texts meet once more by an exact
    join: two similar texts share one of the rarest shingles of both (prefix
    filter), and what stands behind it must be enough on both sides (positional
@@ -42,7 +43,7 @@ ROWS, BANDS = 3, 12
 #: The larger, the less a shingle's rarity counts.
 DAMPING = 8
 #: Most turns in which open buckets draw texts; the exact join takes what they leave.
-TURNS = 4
+TURNS = 3
 #: Counters of document frequency; a power of two.
 COUNTERS = 1 << 18
 #: Bits of the filter that keeps vectors of texts without a candidate at home; a power of two.
@@ -404,7 +405,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     links = written(verified_pairs(pairs, vectors, idf, threshold), "links")
     roots = texts.select("key").join(components(links), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     links = links.select("a", "b")
-    members = written(_open_members(texts.join(roots, "key").select("key", "root", F.posexplode("bands").alias("band", "value"))), "open")
+    first = members = written(_open_members(texts.join(roots, "key").select("key", "root", F.posexplode("bands").alias("band", "value"))), "open")
     held = written(_held(vectors.select("key", "shingles", "counts"), members.select("key")).groupBy("key").agg(
         F.first(F.struct("shingles", "counts")).alias("v")).select("key", "v.*"), "held")
     for turn in range(TURNS):
@@ -415,7 +416,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
             break
         links = links.unionByName(more.select("a", "b"))
         tops = _tops(more)
-        roots, members = _moved(roots, tops), written(_open_members(_moved(members, tops)), "open")
+        roots = _moved(roots, tops)
+        joined = members.join(tops, "root", "left_semi").select("band", "value").distinct()
+        members = written(_open_members(_moved(members.join(joined, ["band", "value"], "left_semi"), tops)), "open")
+    members = _open_members(first.drop("root").join(roots, "key"))
     open_texts = written(members.select("key", "root").distinct(), "open-texts")
     entries = written(prefixes(open_texts, held, vectors.count(), idf, threshold), "prefixes")
     rest = written(remaining_pairs(entries, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
@@ -423,8 +427,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     roots, links = _moved(roots, _tops(more)), links.unionByName(more.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = texts.select("key", "doc_id").join(roots, "key").join(degree, "key", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
-    heads = rooted.groupBy("root").agg(first.alias("head"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
+    heads = rooted.groupBy("root").agg(least.alias("head"))
     classes = rooted.join(heads, "root").select("key", F.col("head.doc_id").alias("class_id"),
                                                 F.col("head.key").alias("head_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return vectors.select("doc_id", "key").join(classes, "key").select(
